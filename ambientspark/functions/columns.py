@@ -39,6 +39,20 @@ def rescale_unit(x) -> Column:
     return clamp(2.0 * _c(x) - 1.0)
 
 
+def round_even(x, digits: int) -> Column:
+    """Round the double's exact binary value, true ties to even (bround works on its decimal
+    print-out, which turns near-ties into ties). The product's rounding error is recovered
+    exactly by splitting x into two 26-bit halves."""
+    x, scale = _c(x), float(10 ** digits)
+    p = x * scale
+    c = x * 134217729.0
+    high = c - (c - x)
+    error = (high * scale - p) + (x - high) * scale
+    down = F.floor(p).cast("double")
+    near_tie = (p - down == 0.5) & (error != 0.0)
+    return F.when(near_tie, F.when(error > 0, down + 1.0).otherwise(down)).otherwise(F.rint(p)) / scale
+
+
 # --- vectors -------------------------------------------------------------------
 
 def dot(x, y) -> Column:
@@ -103,7 +117,7 @@ def certification_threshold(playback_active) -> Column:
 
 def publish_round(**columns) -> list[Column]:
     """name=(column, decimals) -> half-even rounded columns under those names."""
-    return [F.bround(_c(col), digits).alias(name) for name, (col, digits) in columns.items()]
+    return [round_even(_c(col), digits).alias(name) for name, (col, digits) in columns.items()]
 
 
 def raw_from_corrected(published, correction) -> Column:
@@ -191,7 +205,7 @@ def presence_block(headcount_staleness, emotion_staleness, duration, tap_age,
     return F.struct(basis.isin(*C.OCCUPIED).alias("occupied"), basis.alias("basis"),
                     staleness.alias("staleness_s"), _c(duration).alias("track_duration_s"),
                     F.lit(fresh).alias("fresh_s"), F.lit(handoff).alias("handoff_s"),
-                    F.bround(_c(tap_age), 1).alias("last_tap_age_s"))
+                    round_even(_c(tap_age), 1).alias("last_tap_age_s"))
 
 
 def is_blind_veto(action, playback_active, speech, emotion_staleness) -> Column:
@@ -242,8 +256,7 @@ def normalize_playlist_id(configured, host="open.spotify.com") -> Column:
     """Playlist URI, share URL or bare id -> bare id."""
     value = F.trim(_c(configured))
     marker = f"{host}/playlist/"
-    tail = F.split_part(F.substring(value, F.locate(F.lit(marker), value) + len(marker), F.lit(4096)),
-                        F.lit("?"), F.lit(1))
+    tail = F.regexp_extract(value, marker.replace(".", r"\.") + "([^?]*)", 1)
     return (F.when(value.startswith("spotify:playlist:"), F.element_at(F.split(value, ":"), -1))
             .when(value.contains(marker), F.regexp_replace(tail, "^/+|/+$", ""))
             .otherwise(value))

@@ -50,10 +50,10 @@ def candidates(states: DataFrame, grid: DataFrame, slab_s: float, cuts: dict[str
                  action, F.lit(" energy")))
     return df.withColumns({
         "energy_action": action,
-        "target_valence": F.bround(F.when(guard, v).otherwise(col.clamp(v + v_lead)), 3),
-        "target_arousal": F.bround(F.when(guard, a).otherwise(col.clamp(a + a_lead)), 3),
+        "target_valence": col.round_even(F.when(guard, v).otherwise(col.clamp(v + v_lead)), 3),
+        "target_arousal": col.round_even(F.when(guard, a).otherwise(col.clamp(a + a_lead)), 3),
         "genre_pool": pool,
-        "confidence": F.when(guard, cuts["guard_confidence"]).otherwise(F.bround(confidence, 2)),
+        "confidence": F.when(guard, cuts["guard_confidence"]).otherwise(col.round_even(confidence, 2)),
         "summary": summary,
         "matched_cell": F.when(guard, F.array(F.lit("guard"), "reason")).otherwise(F.array("bucket", "vband", "aband")),
         "boundaries_snapshot": col.boundaries_snapshot(cuts),

@@ -50,6 +50,14 @@ def with_halo(df: DataFrame, t: str, slab_s: float, horizon_s: float) -> DataFra
             .withColumn("_halo", F.col(SLAB) != F.col("_home")).drop("_home"))
 
 
+def lookback(keys: list[str], t: str, horizon_s: float):
+    """Window over a key's slab (with halo) reaching horizon_s back from each row."""
+    part = Window.partitionBy(*keys, SLAB)
+    if float(horizon_s).is_integer():
+        return part.orderBy(t).rangeBetween(-int(horizon_s), 0)
+    return part.orderBy(F.col(t) / horizon_s).rangeBetween(-1, 0)  # frames take whole numbers only
+
+
 @dataclass(frozen=True)
 class Running:
     kind: str

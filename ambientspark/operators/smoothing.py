@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ambientspark.functions import constants as C, columns as col
-from ambientspark.operators.slabs import (RESET, SLAB, add_slab, decayed_sum, last_known, linear_scan, row_rank,
+from ambientspark.operators.slabs import (RESET, SLAB, add_slab, decayed_sum, last_known, linear_scan, lookback, row_rank,
                                           running, running_sum, tail, with_halo)
 
 
@@ -107,7 +107,7 @@ def trend(df: DataFrame, keys: list[str], t: str, slab_s: float, horizon_s: floa
     """rising / falling / stable per value: least-squares slope over the horizon, stable with
     fewer than 5 points or less than 15 s of them, and on rows without the value."""
     halo = with_halo(df, t, slab_s, horizon_s)
-    w = Window.partitionBy(*keys, SLAB).orderBy(t).rangeBetween(-horizon_s, 0)
+    w = lookback(keys, t, horizon_s)
     out = {}
     for name, x in values.items():
         at = F.when(x.isNotNull(), F.col(t))
@@ -178,7 +178,7 @@ def trail(df: DataFrame, keys: list[str], t: str, slab_s: float, horizon_s: floa
           out: str = "trail") -> DataFrame:
     """Per row, the list of rows at most horizon_s old, oldest first."""
     halo = with_halo(df, t, slab_s, horizon_s)
-    w = Window.partitionBy(*keys, SLAB).orderBy(t).rangeBetween(-horizon_s, 0)
+    w = lookback(keys, t, horizon_s)
     listed = F.collect_list(F.struct(t, *values)).over(w)
     return halo.withColumn(out, listed).filter(~F.col("_halo")).drop("_halo", SLAB)
 

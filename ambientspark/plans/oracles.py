@@ -1,5 +1,5 @@
 """All DuckDB statements, by query name."""
 
-from ambientspark.plans import oracles_labels
+from ambientspark.plans import oracles_labels, oracles_ticks
 
-ORACLES = {**oracles_labels.ORACLES}
+ORACLES = {**oracles_labels.ORACLES, **oracles_ticks.ORACLES}

@@ -1,5 +1,5 @@
 """All registered queries: name -> (spark, data folder) -> DataFrame."""
 
-from ambientspark.plans import queries_labels
+from ambientspark.plans import queries_labels, queries_ticks
 
-QUERIES = {**queries_labels.QUERIES}
+QUERIES = {**queries_labels.QUERIES, **queries_ticks.QUERIES}
