@@ -298,9 +298,9 @@ def speech_runs(spark, sf):
 
 
 def speech_segments(spark, sf):
-    df = signal.speech_segments(_masks(spark, sf), "mask", 80_000).select("frame_id", F.posexplode("segments").alias("pos", "s"))
-    return df.select("frame_id", F.col("pos").cast("bigint").alias("pos"), F.col("s.start").cast("bigint").alias("start_sample"),
-                     F.col("s.end").cast("bigint").alias("end_sample"))
+    df = signal.speech_segments(_masks(spark, sf), "frame_id", "mask", 80_000)
+    return df.select("frame_id", F.col("pos").cast("bigint").alias("pos"), F.col("start").cast("bigint").alias("start_sample"),
+                     F.col("end").cast("bigint").alias("end_sample"))
 
 
 def rms_dbfs(spark, sf):
