@@ -7,6 +7,7 @@ bounded; parallelism comes from the buffers.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ambientspark.functions import constants as C, columns as col
 from ambientspark.operators.joins import asof_reading, evidence_window
@@ -16,7 +17,8 @@ from ambientspark.operators.smoothing import bucket_smoother, recent_values
 def threshold_cluster(evidence: DataFrame, buffer: list[str], threshold: float = C.CLUSTER_THRESHOLD,
                       order: tuple[str, ...] = ("at", "evidence_id")) -> DataFrame:
     """Average-linkage clusters per buffer over cosine distance, cut at the threshold; adds `label`."""
-    schema = evidence.schema.add("label", "bigint") if "label" not in evidence.columns else evidence.schema
+    evidence = evidence.drop("label")
+    schema = StructType([*evidence.schema.fields, StructField("label", LongType())])
 
     def label(pdf):
         import numpy as np
