@@ -23,7 +23,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], slab_s: float, zero,
     """
     import pyarrow as pa
     part = [*keys, SLAB]
-    rows = add_slab(df, order[0], slab_s)
+    rows = add_slab(stage(df), order[0], slab_s)  # read back once per round
     types = dict(rows.dtypes)
     key_ddl = ", ".join(f"{c} {types[c]}" for c in part)
     start = json.dumps(zero)

@@ -205,7 +205,7 @@ def linear_scan(df: DataFrame, keys: list[str], order: list[str], slab_s: float,
                   *[f"_in_{y}" for y in inputs]))
 
 
-RESET = 2 * _SPAN + 100.0
+RESET = 3 * _SPAN  # whole blocks, so a value that was only reset and held stays bit-exact
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ _PAIRS = """pairs AS MATERIALIZED (SELECT a.room_id, a.evidence_id AS i, b.evide
 _SMEAR = f"greatest({ramp('dispersion', '0.35e0', '0.7e0')}, {ramp('fragmentation', '0.3e0', '0.8e0')})"
 _LOUD = f"""CASE WHEN playback_active AND noise_floor_dbfs IS NOT NULL THEN {ramp('(loudness_dbfs - noise_floor_dbfs)', '3', '12')}
     ELSE {ramp('loudness_dbfs', '(-45.0e0)', '(-20.0e0)')} END"""
-_TICKS = """ticks AS (SELECT room_id, evidence_id AS frame_id, at AS t FROM evidence WHERE evidence_id % 5 = 4)"""
+_TICKS = """ticks AS (SELECT room_id, evidence_id AS frame_id, "at" AS t FROM evidence WHERE evidence_id % 5 = 4)"""
 _OBS = """obs AS MATERIALIZED (SELECT *, lag(track_id) OVER w AS p_track, lag(progress_s) OVER w AS p_progress, lag(duration_s) OVER w AS p_duration
   FROM (SELECT * REPLACE (CASE WHEN is_playing THEN track_id END AS track_id) FROM now_playing_obs) WINDOW w AS (PARTITION BY room_id ORDER BY t, obs_id))"""
 _ENDS = """ends AS MATERIALIZED (SELECT *, p_progress >= p_duration - 3 AS completed FROM obs WHERE p_track IS NOT NULL AND p_track IS DISTINCT FROM track_id)"""
@@ -89,8 +89,8 @@ ORACLES = {
           round(least(1, greatest(0, (1 - w) * least(1, evidence_s / 15) * least(1, greatest(0.2e0, 0.4e0 + separation)) + w * 0.25e0)), 6) AS confidence
         FROM (SELECT *, least(1, greatest(0, (1 - least(1, greatest(0, separation / 0.25e0))) * greatest({ramp('raw_clusters', '4.0e0', '8.0e0')}, {ramp('speech_ratio', '0.6e0', '0.95e0')} * {_LOUD} * {_SMEAR}))) AS w,
             3 + 7 * least(1, greatest(0, speech_ratio)) * least(1, greatest(0, (loudness_dbfs + 45) / 25)) AS babble
-          FROM (SELECT frame_id, frame_id % 9 + 1 AS raw_clusters, high_share * 2 AS fragmentation, v_raw * 0.5e0 AS separation, speech_raw AS dispersion,
-            activity_raw * 5 AS evidence_s, least(1, speech_raw + 0.3e0) AS speech_ratio, loudness_raw AS loudness_dbfs,
+          FROM (SELECT frame_id, frame_id % 9 + 1 AS raw_clusters, high_share * 2 AS fragmentation, v_raw * sqrt(0.2e0) AS separation, speech_raw AS dispersion,
+            activity_raw * sqrt(23.0e0) AS evidence_s, least(1, speech_raw + 0.3e0) AS speech_ratio, loudness_raw * sqrt(0.97e0) AS loudness_dbfs,
             CASE WHEN frame_id % 4 <> 0 THEN -55.0e0 END AS noise_floor_dbfs, playback_active FROM frames))"""),
     "evidence_window": with_views("evidence", """
         SELECT frame_id, evidence_id FROM (SELECT k.frame_id, e.evidence_id, row_number() OVER (PARTITION BY k.frame_id ORDER BY e.at DESC, e.evidence_id DESC) AS r

@@ -41,9 +41,9 @@ def threshold_cluster(spark, sf):
 
 def crowd_estimate(spark, sf):
     f = V.frames(spark, sf).selectExpr(
-        "frame_id", "frame_id % 9 + 1 AS raw_clusters", "high_share * 2 AS fragmentation", "v_raw * 0.5D AS separation",
-        "speech_raw AS dispersion", "activity_raw * 5 AS evidence_s", "least(1.0D, speech_raw + 0.3D) AS speech_ratio",
-        "loudness_raw AS loudness_dbfs", "CASE WHEN frame_id % 4 <> 0 THEN -55.0D END AS noise_floor_dbfs", "playback_active")
+        "frame_id", "frame_id % 9 + 1 AS raw_clusters", "high_share * 2 AS fragmentation", "v_raw * sqrt(0.2D) AS separation",
+        "speech_raw AS dispersion", "activity_raw * sqrt(23.0D) AS evidence_s", "least(1.0D, speech_raw + 0.3D) AS speech_ratio",
+        "loudness_raw * sqrt(0.97D) AS loudness_dbfs", "CASE WHEN frame_id % 4 <> 0 THEN -55.0D END AS noise_floor_dbfs", "playback_active")
     df = occupancy.crowd_estimate(f).select("frame_id", "crowd_weight", "log2_count", "confidence")
     return _r(df, "crowd_weight", "log2_count", "confidence")
 
