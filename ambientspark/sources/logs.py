@@ -12,16 +12,13 @@ CORRUPT = "_corrupt"
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, malformed lines with their file). Blank lines and bad lines never fail the read.
 
-    A line counts as malformed when it is not JSON; the records side parses with the fixed
-    schema, so column pruning reaches into the nested structs."""
-    reader = spark.read.schema(f"{schema}, {CORRUPT} STRING").option("mode", "PERMISSIVE") \
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    both = reader.json(paths)
-    good = both.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    parsed = F.try_parse_json("value") if hasattr(F, "try_parse_json") else F.get_json_object("value", "$")
-    bad = lines.filter((F.trim("value") != "") & parsed.isNull())
-    return good, bad
+    Lines that are not JSON of the fixed schema are malformed; every non-blank line lands on
+    exactly one side."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = lines.withColumn("_r", F.from_json("value", f"{schema}, {CORRUPT} STRING", options))
+    good = parsed.filter(F.col(f"_r.{CORRUPT}").isNull()).select("_r.*").drop(CORRUPT)
+    return good, parsed.filter(F.col(f"_r.{CORRUPT}").isNotNull()).select("value", "file")
 
 
 def read_annotations(spark, paths) -> DataFrame:
