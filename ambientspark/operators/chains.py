@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ambientspark.operators.slabs import SLAB, add_slab, walk_slabs
+from ambientspark.operators.slabs import SLAB, add_slab, hashed, walk_slabs
 
 
 @dataclass(frozen=True)
@@ -135,27 +135,38 @@ def _exits(rule, t, x, entries):
     return [last[int(e)] for e in entries]
 
 
-def slab_tables(batches, part):
-    """Whole slabs (Arrow tables) out of a stream of record batches sorted by slab."""
+def whole_slabs(batches, part):
+    """(table, edges) pairs out of record batches sorted by slab: whole slabs only, slab i being
+    rows edges[i]:edges[i + 1]."""
     import pyarrow as pa
     held, held_id = [], None
     for batch in batches:
-        if batch.num_rows == 0:
+        n = batch.num_rows
+        if n == 0:
             continue
         ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in part]
-        cut = np.zeros(batch.num_rows - 1, dtype=bool)
+        new = np.zeros(n, dtype=bool)
         for col in ids:
-            cut |= col[1:] != col[:-1]
-        edges = [0, *(np.flatnonzero(cut) + 1), batch.num_rows]
-        for lo, hi in zip(edges, edges[1:]):
-            slab_id = tuple(col[lo] for col in ids)
-            if held and slab_id != held_id:
-                yield pa.Table.from_batches(held)
-                held = []
-            held_id = slab_id
-            held.append(batch.slice(lo, hi - lo))
+            new[1:] |= col[1:] != col[:-1]
+        new[0] = bool(held) and tuple(col[0] for col in ids) != held_id
+        held_id = tuple(col[-1] for col in ids)
+        starts = np.flatnonzero(new)
+        if len(starts):
+            offset = sum(b.num_rows for b in held)
+            edges = np.unique(np.concatenate([[0], offset + starts]))
+            yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])]), edges
+            held = [batch.slice(starts[-1])]
+        else:
+            held.append(batch)
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), np.array([0, sum(b.num_rows for b in held)])
+
+
+def slab_tables(batches, part):
+    """Slabs one by one."""
+    for table, edges in whole_slabs(batches, part):
+        for lo, hi in zip(edges, edges[1:]):
+            yield table.slice(lo, hi - lo)
 
 
 def keep_chain(df: DataFrame, keys: list[str], order: list[str], slab_s: float, rule,
@@ -175,16 +186,21 @@ def keep_chain(df: DataFrame, keys: list[str], order: list[str], slab_s: float,
                 table.column("_x").to_numpy().astype(x_dtype))
 
     def summarise(batches):
-        for slab in slab_tables(batches, part):
-            t, x = arrays(slab)
-            entries = np.asarray(rule.entries(t, x))
-            exits = np.asarray(_exits(rule, t, x, entries))
-            cols = [slab.column(c).take(pa.array(np.zeros(len(entries), dtype="int64"))) for c in part]
-            cols += [pa.array(entries.astype("int64")), pa.array(t[entries]), slab.column("_x").take(pa.array(entries)),
-                     pa.array(t[exits]), slab.column("_x").take(pa.array(exits))]
+        for table, edges in whole_slabs(batches, part):
+            t, x = arrays(table)
+            entries, exits, pos = [], [], []
+            for lo, hi in zip(edges, edges[1:]):
+                e = np.asarray(rule.entries(t[lo:hi], x[lo:hi]))
+                pos.append(e)
+                entries.append(lo + e)
+                exits.append(lo + np.asarray(_exits(rule, t[lo:hi], x[lo:hi], e)))
+            entries, exits = np.concatenate(entries), np.concatenate(exits)
+            at, out = table.take(pa.array(entries)), table.column("_x").take(pa.array(exits))
+            cols = [*[at.column(c) for c in part], pa.array(np.concatenate(pos).astype("int64")), pa.array(t[entries]),
+                    at.column("_x"), pa.array(t[exits]), out]
             yield from pa.table(cols, names=[*part, "pos", "t", "x", "exit_t", "exit_x"]).to_batches()
 
-    summary = slim.repartition(*part).sortWithinPartitions(*part, *order).mapInArrow(
+    summary = hashed(slim, part, order).mapInArrow(
         summarise, f"{key_ddl}, pos bigint, t double, x {x_type}, exit_t double, exit_x {x_type}")
 
     def carried(row, inbound):
@@ -213,16 +229,18 @@ def keep_chain(df: DataFrame, keys: list[str], order: list[str], slab_s: float,
             .unionByName(carry.withColumn("_row", F.lit(0)), allowMissingColumns=True))
 
     def replay(batches):
-        for slab in slab_tables(batches, part):
-            inbound = slab.column("in_t")[0].as_py(), slab.column("in_x")[0].as_py()
-            slab = slab.slice(1)
-            t, x = arrays(slab)
-            start = 0 if inbound[0] is None else rule.first(inbound, t, x)
-            kept = [] if start is None else _chain(rule, t, x, start)
-            yield from slab.select(columns).take(pa.array(kept, type=pa.int64())).to_batches()
-
-    return (both.repartition(*part).sortWithinPartitions(*part, "_row", *order)
-            .mapInArrow(replay, df.schema))
+        for table, edges in whole_slabs(batches, part):
+            t, x = arrays(table)
+            in_t, in_x = table.column("in_t").to_numpy(), table.column("in_x").to_numpy()
+            kept = []
+            for lo, hi in zip(edges, edges[1:]):
+                rows_t, rows_x = t[lo + 1:hi], x[lo + 1:hi]
+                start = 0 if np.isnan(in_t[lo]) else rule.first((in_t[lo], in_x[lo]), rows_t, rows_x)
+                if start is not None:
+                    kept += [lo + 1 + i for i in _chain(rule, rows_t, rows_x, start)]
+            yield from table.select(columns).take(pa.array(kept, type=pa.int64())).to_batches()
+
+    return hashed(both, part, ["_row", *order]).mapInArrow(replay, df.schema)
 
 
 def throttle(df: DataFrame, keys: list[str], order: list[str], slab_s: float, gap_s: float) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ambientspark.operators.slabs import SLAB, add_slab, stage
+from ambientspark.operators.slabs import SLAB, add_slab, hashed, stage
 from ambientspark.operators.chains import slab_tables
 
 
@@ -32,7 +32,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], slab_s: float, zero,
         """Slab states travel as the leading row of their slab; slabs without one are left out."""
         both = (rows.withColumn("_row", F.lit(1))
                 .unionByName(states.withColumn("_row", F.lit(0)), allowMissingColumns=True))
-        return both.repartition(*part).sortWithinPartitions(*part, "_row", *order)
+        return hashed(both, part, ["_row", *order])
 
     def fold(batches, emit):
         for slab in slab_tables(batches, part):

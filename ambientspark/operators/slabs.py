@@ -208,6 +208,13 @@ def linear_scan(df: DataFrame, keys: list[str], order: list[str], slab_s: float,
 RESET = 3 * _SPAN  # whole blocks, so a value that was only reset and held stays bit-exact
 
 
+def hashed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Hash by keys and sort within partitions, for a Python step. The partition count is the
+    session's, stated outright so that adaptive execution keeps small inputs parallel too."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and read it back: the plan above
     starts afresh and a lost executor costs a re-read, not a recomputation."""
@@ -246,4 +253,4 @@ def walk_slabs(summary: DataFrame, keys: list[str], order: list[str], step: Call
                 rows, state = step(state, row)
                 out.extend(rows)
             yield pd.DataFrame(out, columns=names)
-    return summary.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+    return hashed(summary, keys, order).mapInPandas(walk, schema)

@@ -42,17 +42,21 @@ def phase_delta(labelled: DataFrame, control: str, treatment: str, positive: str
         (F.col("a_2") - F.col("a_1")).alias("positive_separation"))
 
 
-def latency_report(timings: DataFrame, by: list[str], value: str, budget: float) -> DataFrame:
+def latency_report(timings: DataFrame, by: list[str], value: str, budget: float, buckets: int = 4096) -> DataFrame:
     """Mean, the p95 element of the sorted timings (0-based rank max(0, int(0.95 n) - 1)), and the verdict.
 
-    The rank is found from counts per distinct value, so a heavy group is reduced by partial
-    aggregation first and never gathered."""
-    counts = timings.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    total = Window.partitionBy(*by)
-    ranked = (counts.withColumns({"upto": F.sum("c").over(w), "n": F.sum("c").over(total)})
-              .withColumn("target", F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(0.95)).cast("bigint") - 1)))
-    return (ranked.groupBy(*by).agg(
-        F.max("n").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.max("n")).alias("mean"),
-        F.min(F.when(F.col("upto") > F.col("target"), F.col(value))).alias("p95"))
-        .withColumn("within_budget", F.col("p95") < budget))
+    A histogram of partial counts finds the bucket holding that rank; only this bucket's rows
+    are ordered, so a group with most of the rows is never sorted or gathered as a whole."""
+    stats = timings.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    stats = stats.withColumn("target", F.greatest(F.lit(0), F.floor(F.col("n") * F.lit(0.95)).cast("bigint") - 1))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (buckets - 1))).otherwise(0)
+    placed = timings.select(*by, value).filter(F.col(value).isNotNull()).join(stats.select(*by, "lo", "hi"), by) \
+        .select(*by, value, place.cast("bigint").alias("_b"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy("_b"))
+    hist = placed.groupBy(*by, "_b").agg(F.count("*").alias("c")).withColumn("upto", upto).join(stats, by)
+    hit = hist.filter((F.col("upto") > F.col("target")) & (F.col("upto") - F.col("c") <= F.col("target"))) \
+        .withColumn("skip", F.col("target") - F.col("upto") + F.col("c"))
+    inside = placed.join(hit.select(*by, "_b", "skip"), [*by, "_b"]).groupBy(*by, "skip", value).agg(F.count("*").alias("c"))
+    ranked = inside.withColumn("upto", F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
+    p95 = ranked.filter(F.col("upto") > F.col("skip")).groupBy(*by).agg(F.min(value).alias("p95"))
+    return stats.join(p95, by).select(*by, "n", "mean", "p95", (F.col("p95") < budget).alias("within_budget"))
