@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ambientspark.functions import constants as C, columns as col
 from ambientspark.operators.fold import recent_k, scan
 from ambientspark.operators.joins import asof
-from ambientspark.operators.slabs import lagged, running
+from ambientspark.operators.slabs import lagged, running, stage
 
 ROOM, OBS = ["room_id"], ["t", "obs_id"]
 
@@ -35,9 +35,9 @@ def vanished_tracks(obs: DataFrame, slab_s: float, lead_s: float = C.QUEUE_LEAD_
 def unvetoed_completions(ended: DataFrame, selections: DataFrame, vetoes: DataFrame, slab_s: float,
                          keep_selected: int = C.ATTRIBUTION_KEEP, keep_vetoed: int = C.OVERRIDDEN_KEEP) -> DataFrame:
     """Ended tracks still attributed to a selection and not overridden, by the capped memories of both."""
-    chosen = recent_k(selections, ROOM, ["t", "pick_id"], slab_s, "track_id", keep_selected)
-    vetoed = recent_k(vetoes, ROOM, ["t", "veto_id"], slab_s, "track_id", keep_vetoed)
-    df = asof(ended, chosen.withColumnRenamed("live", "chosen_ids"), ROOM, "t", "t", slab_s, ["chosen_ids"],
+    chosen = stage(recent_k(selections, ROOM, ["t", "pick_id"], slab_s, "track_id", keep_selected))
+    vetoed = stage(recent_k(vetoes, ROOM, ["t", "veto_id"], slab_s, "track_id", keep_vetoed))
+    df = asof(stage(ended), chosen.withColumnRenamed("live", "chosen_ids"), ROOM, "t", "t", slab_s, ["chosen_ids"],
               right_id="pick_id").drop("at")
     df = asof(df, vetoed.withColumnRenamed("live", "vetoed_ids"), ROOM, "t", "t", slab_s, ["vetoed_ids"],
               right_id="veto_id").drop("at")
