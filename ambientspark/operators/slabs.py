@@ -209,10 +209,14 @@ RESET = 3 * _SPAN  # whole blocks, so a value that was only reset and held stays
 
 
 def hashed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Hash by keys and sort within partitions, for a Python step. The partition count is the
-    session's, stated outright so that adaptive execution keeps small inputs parallel too."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+    """Hash by keys and sort within partitions, for a Python step.
+
+    With a partition count that suits the cores it is stated outright, so that small inputs stay
+    parallel; a count far above them is left to adaptive execution to merge."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = df.repartition(n, *keys) if n <= 4 * spark.sparkContext.defaultParallelism else df.repartition(*keys)
+    return split.sortWithinPartitions(*keys, *order)
 
 
 def stage(df: DataFrame) -> DataFrame:
