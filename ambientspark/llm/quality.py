@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Shorter texts say nothing by their stop words.
+STOP_WORDS_FROM = 50
 #: Frequent function words of the four languages.
 STOP_WORDS = (
     "the of and to in a is that it for on was as be with by this are or at from an not have has "
@@ -63,13 +65,13 @@ def _covered(windows: Column, size: int) -> Column:
 
     def in_order(pairs: Column) -> Column:
         both = F.zip_with(pairs, F.slice(pairs, 2, F.size(pairs)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["p"], b["p"])))
-        return F.array_sort(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
+        return F.sort_array(F.array_distinct(F.flatten(F.filter(both, lambda x: x.isNotNull()))))
 
     def total(places: Column) -> Column:
         nexts = F.concat(F.slice(places, 2, F.size(places)), F.array(F.lit(2**31 - 1)))
         return F.aggregate(F.zip_with(places, nexts, lambda a, b: F.least(b - a, F.lit(size))), F.lit(0), lambda s, x: s + x)
 
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(
         _let(_let(pairs, in_order), lambda places: F.when(F.size(places) == 0, F.lit(0)).otherwise(total(places))))
 
@@ -106,7 +108,7 @@ def metrics(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] | l
             w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"),
             c["l"]["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"),
             (100 * w["n_repeat_words"] / n).alias("repeat_percent"), (w["word_chars"] / n).alias("mean_word_chars"),
-            (c["n_symbols"] / n).alias("symbols_per_word"), (w["n_stop_words"] / n).alias("stop_word_ratio"),
+            (c["n_symbols"] / n).alias("symbols_per_word"), F.when(n >= STOP_WORDS_FROM, w["n_stop_words"] / n).alias("stop_word_ratio"),
             (c["n_upper"] / F.nullif(w["word_chars"], F.lit(0).cast("long"))).alias("upper_char_ratio"),
             (c["l"]["n_dup_lines"] / F.nullif(c["l"]["n_lines"], F.lit(0))).alias("dup_line_ratio"))
 
