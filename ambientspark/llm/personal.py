@@ -83,7 +83,11 @@ def base_spans(text: Column) -> Column:
             _places(joined, CARD), lambda s: _let(_digits(s["value"]), lambda d: F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(F.lit(False))))).otherwise(_none()),
         "phone": F.when(text.rlike(r"\+[0-9]"), F.filter(_places(text, PHONE), lambda s: digits(s).between(9, 15))).otherwise(_none()),
     }
-    return F.concat(*[F.transform(v, lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k, v in found.items()])
+
+    def named(kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+    return F.concat(*[named(k, v) for k, v in found.items()])
 
 
 def _with_context(text: Column, spans: Column) -> Column:
@@ -173,8 +177,10 @@ def personal_digest(spans: DataFrame) -> DataFrame:
     def joined(items: Column | str) -> Column:
         return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return spans.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_found"))
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return spans.select("doc_id", *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_found"))
 
 
 def _replaced(text: Column, spans: Column) -> Column:

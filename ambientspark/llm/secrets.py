@@ -104,11 +104,11 @@ def secret_digest(spans: DataFrame) -> DataFrame:
     def joined(items):
         return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    def having(test):
-        return F.size(F.filter("spans", test)).cast("long")
+    def having(part: str, value: str):
+        return F.size(F.filter("spans", lambda s: s[part] == value)).cast("long").alias(f"n_{value}")
 
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return spans.select(
-        "doc_id", *[having(lambda s, k=k: s["kind"] == k).alias(f"n_{k}") for k in KINDS[:3]],
+        "doc_id", *[having("kind", k) for k in KINDS[:3]],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
-        *[having(lambda s, v=v: s["verdict"] == v).alias(f"n_{v}") for v in ("live", "shared", "example")])
+        *[having("verdict", v) for v in ("live", "shared", "example")])
