@@ -24,6 +24,11 @@ DIFFERING = 0.35
 #: Benchmark text handled in one pass over the documents, in bytes; more is dealt into several passes.
 PASS_BYTES = 32 << 20
 SEED = 20_240_601
+#: Marks for pairs of neighbouring words of items; two pairs that share one only make more windows to embed.
+PAIR_SLOTS = 1 << 22
+#: Words that one step lays end to end, and windows embedded together.
+RUN_WORDS = 1 << 20
+WINDOWS = 1 << 14
 SPAN = "struct<item_id: bigint, first_word: bigint, last_word: bigint, edits: int>"
 _PAIR = pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())])
 
@@ -43,32 +48,33 @@ def repetitions(recall: float = RECALL, differing: float = DIFFERING, sampled: i
 
 
 class Walk:
-    """One embedding of word-id sequences of length n into 3n positions, and the positions sampled of it.
+    """One embedding of word-id sequences into positions, and the positions sampled of it.
 
     At step j the walk writes the word it stands at and goes on if hash j of that word is odd; beyond the end it writes -1. Both
-    sequences of a pair use the same hashes, so they fall into step again after an edit.
+    sequences of a pair use the same hashes, so they fall into step again after an edit. Of the 3n steps for n words
+    the last third mostly stands beyond the end, so positions are sampled from the first 2n.
     """
 
-    def __init__(self, n: int, repetition: int) -> None:
-        rng = np.random.default_rng([SEED, n, repetition])
-        self.salts = rng.integers(0, 1 << 63, size=3 * n, dtype=np.uint64) | np.uint64(1)
-        #: walks stand beyond the end late on, so positions of the first two thirds tell more
-        self.sample = np.sort(rng.choice(2 * n, size=min(SAMPLED, 2 * n), replace=False))
-        self.mix = rng.integers(0, 1 << 63, size=len(self.sample), dtype=np.uint64) | np.uint64(1)
-
-    def keys(self, windows: np.ndarray) -> np.ndarray:
-        """One 64-bit key for each row of word ids: what the sampled positions hold."""
-        rows, n = np.arange(len(windows)), windows.shape[1]
-        padded = np.concatenate([windows.astype(np.int64), np.full((len(windows), 1), -1)], axis=1).view(np.uint64)
-        at, key, k = np.zeros(len(windows), dtype=np.int64), np.zeros(len(windows), dtype=np.uint64), 0
-        for j in range(int(self.sample[-1]) + 1):
-            here = padded[rows, at]
-            if j == self.sample[k]:
-                key = (key ^ here) * self.mix[k]
-                key ^= key >> np.uint64(29)
-                k += 1
-            mixed = (here + np.uint64(0x9E3779B97F4A7C15)) * self.salts[j]
-            at = np.minimum(at + (mixed >> np.uint64(63)).astype(np.int64), n)
+    def __init__(self, longest: int, repetition: int) -> None:
+        rng = np.random.default_rng([SEED, repetition])
+        self.shares = np.sort(rng.random(SAMPLED))
+        self.mix = rng.integers(0, 1 << 63, size=SAMPLED, dtype=np.uint64) | np.uint64(1)
+        self.salts = rng.integers(0, 1 << 63, size=2 * longest, dtype=np.uint64) | np.uint64(1)
+
+    def keys(self, windows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """One 64-bit key for each row (its first `length` word ids, then -1): its length and what the sampled positions hold."""
+        rows, width = np.arange(len(windows)), windows.shape[1]
+        flat = np.concatenate([windows, np.full((len(windows), 1), -1)], axis=1).astype(np.int64).view(np.uint64).ravel()
+        sampled = (self.shares[:, None] * (2 * lengths)).astype(np.int64)
+        at, last = rows * (width + 1), rows * (width + 1) + lengths
+        written = np.empty((int(sampled.max(initial=0)) + 1, len(windows)), dtype=np.uint64)
+        for j in range(len(written)):
+            here = written[j] = flat[at]
+            at = np.minimum(at + ((here + np.uint64(0x9E3779B97F4A7C15)) * self.salts[j] >> np.uint64(63)).astype(np.int64), last)
+        key = lengths.astype(np.uint64)
+        for places, mix in zip(sampled, self.mix, strict=True):
+            key = (key ^ written[places, rows]) * mix
+            key ^= key >> np.uint64(29)
         return key
 
 
@@ -93,48 +99,118 @@ def best_end(item: list[int], window: list[int], limit: int) -> tuple[int, int]
 
 @dataclass
 class Items:
-    """Benchmark items as word ids, and for each item length the keys of every repetition."""
+    """Benchmark items as word ids, and their keys for every repetition."""
 
     rate: float
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     items: list[tuple[int, list[int]]] = field(default_factory=list)
-    tables: dict[int, list[tuple[Walk, np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    tables: list[tuple[Walk, np.ndarray, np.ndarray]] = field(default_factory=list)
+    longest: int = 0
+    #: marks of the pairs of neighbouring words, and the fewest different ones of an item of each length
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(PAIR_SLOTS, dtype=bool))
+    least_pairs: dict[int, int] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, bytes]], rate: float, recall: float) -> Items:
-        out, by_length = cls(rate), {}
+        out = cls(rate)
         for item_id, text in rows:
             ids = [out.vocabulary.setdefault(w, len(out.vocabulary) + 1) for w in words_of(text)]
             if ids:
-                by_length.setdefault(len(ids), []).append(len(out.items))
                 out.items.append((item_id, ids))
-        for n, numbers in by_length.items():
-            matrix = np.array([out.items[k][1] for k in numbers])
-            out.tables[n] = []
+                out.longest = max(out.longest, len(ids))
+                different = np.unique(out.slots(np.array(ids, dtype=np.int64)))
+                out.pairs[different] = True
+                out.least_pairs[len(ids)] = min(len(different), out.least_pairs.get(len(ids), len(ids)))
+        if out.items:
+            matrix = np.full((len(out.items), out.longest), -1, dtype=np.int64)
+            for k, (_, ids) in enumerate(out.items):
+                matrix[k, : len(ids)] = ids
+            lengths = np.array([len(ids) for _, ids in out.items])
             for r in range(repetitions(recall)):
-                walk = Walk(n, r)
-                keys = walk.keys(matrix)
+                walk = Walk(out.longest, r)
+                keys = walk.keys(matrix, lengths)
                 order = np.argsort(keys, kind="stable")
-                out.tables[n].append((walk, keys[order], np.array(numbers)[order]))
+                out.tables.append((walk, keys[order], order))
         return out
 
-    def leaks(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item_id, first word, last word, edits) of the item-like windows of a whole text."""
-        words = words_of(text)
+    def slots(self, ids: np.ndarray) -> np.ndarray:
+        """Where the pairs of neighbouring words are marked."""
+        return ((ids[:-1] * 0x9E3779B1 + ids[1:] * 0x85EBCA77) & 0xFFFFFFFF) * PAIR_SLOTS >> 32
+
+    def starts(self, ids: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item length, the places in a run of word ids where a window may start.
+
+        An edit touches two pairs of neighbouring words at most. So a window of n + limit words that holds an item with
+        `limit` edits holds all but 2 limit of the item's different pairs; any place where it has fewer that occur in any item can
+        be left out. A pair that repeats the one before it is not counted, which takes one from the windows that begin with it.
+        """
+        slots = self.slots(ids)
+        known = self.pairs[slots] & (ids[:-1] > 0) & (ids[1:] > 0)
+        known[1:] &= slots[1:] != slots[:-1]
+        inside = np.concatenate([[0], np.cumsum(known, dtype=np.int32)])
+        need = {n: max(0, least - 2 * edit_limit(n, self.rate) - 1) for n, least in self.least_pairs.items()}
+        if not need:
+            return {}
+        places, last = np.arange(len(ids)), len(known)
+        reach = max(n + edit_limit(n, self.rate) for n in need)
+        places = places[inside[np.minimum(places + reach, last)] - inside[np.minimum(places, last)] >= min(need.values())]
+        before = inside[np.minimum(places, last)]
+        return {n: places[inside[np.minimum(places + n + edit_limit(n, self.rate) - 1, last)] - before >= least] for n, least in need.items()}
+
+    def leaks(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
+        """For each whole text, (item_id, first word, last word, edits) of its item-like windows."""
         get = self.vocabulary.get
-        ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-        inside = np.concatenate([[0], np.cumsum(ids > 0)])
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for n, tables in self.tables.items():
-            limit = edit_limit(n, self.rate)
-            if len(ids) < n - limit:
-                continue
-            # at most `limit` edits leave n - limit words of the item within n + limit words, so other windows can't match
-            starts = np.arange(len(ids) - (n - limit) + 1)
-            ends = np.minimum(starts + n + limit, len(ids))
-            starts = starts[inside[ends] - inside[starts] >= n - limit]
-            for at in range(0, len(starts), 1 << 14):
-                self._search(ids, starts[at : at + (1 << 14)], n, limit, tables, found)
+        found: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in texts]
+        runs, first, size = [], 0, 0
+        for k, text in enumerate(texts):
+            words = words_of(text)
+            runs.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
+            size += len(words) + 1
+            if size >= RUN_WORDS or k == len(texts) - 1:
+                self._search(runs, found[first:])
+                runs, first, size = [], k + 1, 0
+        return [self._settled(x) for x in found]
+
+    def _search(self, runs: list[np.ndarray], found: list[dict[int, list[tuple[int, int, int]]]]) -> None:
+        """Searches texts laid end to end with a word of no item between them."""
+        gap = np.zeros(1, dtype=np.int64)
+        ids = np.concatenate([x for run in runs for x in (run, gap)])
+        ends = np.cumsum([len(run) + 1 for run in runs]) - 1
+        begins = ends - [len(run) for run in runs]
+        starts, texts, lengths = [], [], []
+        for n, places in self.starts(ids).items():
+            text = np.searchsorted(ends, places, "right")
+            fits = text < len(ends)
+            places, text = places[fits], text[fits]
+            fits = ends[text] - places >= n - edit_limit(n, self.rate)
+            starts.append(places[fits])
+            texts.append(text[fits])
+            lengths.append(np.full(len(starts[-1]), n))
+        if not starts:
+            return
+        start, text, length = np.concatenate(starts), np.concatenate(texts), np.concatenate(lengths)
+        for at in range(0, len(start), WINDOWS):
+            part = slice(at, at + WINDOWS)
+            self._compare(ids, start[part], text[part], length[part], begins, ends, found)
+
+    def _compare(self, ids, start, text, length, begins, ends, found) -> None:
+        ahead = np.arange(self.longest)
+        inside = (ahead < length[:, None]) & (start[:, None] + ahead < ends[text][:, None])
+        windows = np.where(inside, ids[np.minimum(start[:, None] + ahead, len(ids) - 1)], -1)
+        pairs: set[tuple[int, int]] = set()
+        for walk, keys, numbers in self.tables:
+            own = walk.keys(windows, length)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            for i in np.nonzero(high > low)[0]:
+                pairs.update((int(i), int(x)) for x in numbers[low[i] : high[i]])
+        for i, item in pairs:
+            s, t, wanted = int(start[i]), int(text[i]), self.items[item][1]
+            limit = edit_limit(len(wanted), self.rate)
+            if got := best_end(wanted, ids[s : min(s + len(wanted) + limit, int(ends[t]))].tolist(), limit):
+                begin = s - int(begins[t])
+                found[t].setdefault(item, []).append((got[0], begin, begin + max(got[1], 1) - 1))
+
+    def _settled(self, found: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, int]]:
         out = []
         for k, spans in found.items():
             taken: list[tuple[int, int]] = []
@@ -144,20 +220,6 @@ class Items:
                     out.append((self.items[k][0], first, last, edits))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
-    def _search(self, ids, starts, n, limit, tables, found) -> None:
-        padded = np.concatenate([ids, np.full(n, -1)])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, n)[starts]
-        pairs: set[tuple[int, int]] = set()
-        for walk, keys, numbers in tables:
-            own = walk.keys(windows)
-            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            for i in np.nonzero(high > low)[0]:
-                pairs.update((int(starts[i]), int(k)) for k in numbers[low[i] : high[i]])
-        for start, k in pairs:
-            window = ids[start : start + n + limit].tolist()
-            if got := best_end(self.items[k][1], window, limit):
-                found.setdefault(k, []).append((got[0], start, start + max(got[1], 1) - 1))
-
 
 def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of about PASS_BYTES at most: only one block at a time is held by the driver and sent to the tasks."""
@@ -190,7 +252,8 @@ def leak_spans(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, r
                 texts = batch.column(text).cast(pa.binary()).to_pylist()
                 had = batch.column(place).to_pylist()
                 names = ("item_id", "first_word", "last_word", "edits")
-                found = [h + [dict(zip(names, x, strict=True)) for x in items.value.leaks(t or b"")] for h, t in zip(had, texts, strict=True)]
+                new = items.value.leaks([t or b"" for t in texts])
+                found = [h + [dict(zip(names, x, strict=True)) for x in spans] for h, spans in zip(had, new, strict=True)]
                 columns = batch.columns[:place] + [pa.array(found, pa.list_(_PAIR))] + batch.columns[place + 1 :]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
