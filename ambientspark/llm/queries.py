@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ambientspark.llm import classifier, decontaminate, licenses, packing, personal, quality, secrets, simhash, warc
+from ambientspark.llm import classifier, decontaminate, licenses, packing, personal, quality, repeats, secrets, simhash, warc
 from ambientspark.llm.common import read_table
 
 
@@ -57,6 +57,11 @@ def op6_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repository"), F.col("source").alias("owner"))
     return secrets.secret_digest(secrets.secret_spans(docs))
@@ -73,5 +78,5 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_personal_data, op5_revisits, op6_quality_neighbours,
-    op8_secret_ownership, op9_simhash_anchors, op10_benchmark_leaks)}
+    op7_repeated_bytes, op8_secret_ownership, op9_simhash_anchors, op10_benchmark_leaks)}
 ORACLES: dict[str, str] = {}
