@@ -69,14 +69,14 @@ def secret_candidates(docs: DataFrame, repository: str = "repository", owner: st
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_places, n_repositories, n_owners over the whole corpus; null repositories and owners count as one each.
+    """hash, n_documents, n_repositories, n_owners over the whole corpus; null repositories and owners count as one each.
 
-    Places are first summed up by (hash, repository, owner) in each task, so a value that very many documents copy is a few rows.
+    Documents are first counted by (hash, repository, owner) in each task, so a value that very many documents copy is a few rows.
     """
-    flat = found.select(F.explode("candidates.hash").alias("hash"), F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner"))
+    flat = found.select(F.explode(F.array_distinct("candidates.hash")).alias("hash"), F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner"))
     held = flat.groupBy("hash", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
     return held.groupBy("hash").agg(
-        F.sum("n").alias("n_places"), F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
+        F.sum("n").alias("n_documents"), F.countDistinct("repository").alias("n_repositories"), F.countDistinct("owner").alias("n_owners"))
 
 
 def secret_spans(docs: DataFrame, repository: str = "repository", owner: str = "owner", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
@@ -92,7 +92,7 @@ def secret_spans(docs: DataFrame, repository: str = "repository", owner: str = "
     verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") > 1, "shared").otherwise("live")
     told = flat.join(counts, flat.c.hash == counts.hash).select(
         "row", F.struct(F.col("c.start").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("c.kind")).alias("order"), F.col("c.end").alias("end"),
-                        F.col("c.kind").alias("kind"), verdict.alias("verdict"), "n_places", "n_repositories", "n_owners").alias("s"))
+                        F.col("c.kind").alias("kind"), verdict.alias("verdict"), "n_documents", "n_repositories", "n_owners").alias("s"))
     told = told.where("s.kind <> 'random' or s.verdict = 'live'")
     spans = told.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("spans"))  # bounded by one text's candidates
     return found.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.expr("array()")).alias("spans"))
