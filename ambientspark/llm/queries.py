@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ambientspark.llm import classifier, decontaminate, licenses, packing, personal, quality, repeats, secrets, simhash, warc
+from ambientspark.llm import classifier, decontaminate, licenses, oracles, packing, personal, quality, repeats, secrets, simhash, warc
 from ambientspark.llm.common import read_table
 
 
@@ -79,4 +79,4 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_personal_data, op5_revisits, op6_quality_neighbours,
     op7_repeated_bytes, op8_secret_ownership, op9_simhash_anchors, op10_benchmark_leaks)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_quality_rules": oracles.QUALITY, "op5_revisits": oracles.REVISITS}
