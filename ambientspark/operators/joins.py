@@ -98,18 +98,15 @@ def asof_before(left: DataFrame, right: DataFrame, keys: list[str], left_t: str,
     return held.filter("_side = 0").select("_left.*", *[f"_held.{v}" for v in values])
 
 
-MAX_PHASES = 1000
-
-
 def frames_in_phase(frames: DataFrame, phases: DataFrame, slab_s: float, keys: list[str] = (), t: str = "t") -> DataFrame:
-    """Label frames with the protocol phase [start_s, end_s) they fall in.
+    """Label frames with the protocol phases [start_s, end_s) they fall in: one row per frame and phase.
 
-    A hand-written protocol (at most MAX_PHASES rows, checked) is broadcast; longer or
-    per-room phase tables are carried forward like any other as-of value.
+    Overlapping phases each label a frame; a phase that does not end before it starts is required to state its end. Both sides are
+    matched by time slab, so a phase costs a row per slab it touches, whatever the number of phases.
     """
     keys = list(keys)
-    if not keys and phases.limit(MAX_PHASES + 1).count() <= MAX_PHASES:
-        inside = (F.col(t) >= F.col("start_s")) & (F.col(t) < F.col("end_s"))
-        return frames.join(F.broadcast(phases), inside).drop("start_s", "end_s")
-    held = asof(frames, phases, keys, t, "start_s", slab_s, ["phase", "end_s"])
-    return held.filter(F.col(t) < F.col("end_s")).drop("at", "end_s")
+    last = F.greatest(F.floor(F.col("start_s") / slab_s), F.ceil(F.col("end_s") / slab_s) - 1)
+    slabs = phases.withColumn("_slab", F.explode(F.sequence(F.floor(F.col("start_s") / slab_s), last)))
+    placed = frames.withColumn("_slab", F.floor(F.col(t) / slab_s))
+    both = placed.join(slabs, [*keys, "_slab"]).filter((F.col(t) >= F.col("start_s")) & (F.col(t) < F.col("end_s")))
+    return both.select(*frames.columns, *[c for c in phases.columns if c not in (*keys, "start_s", "end_s")])

@@ -18,8 +18,8 @@ def rulebook(spark: SparkSession, overrides: dict[tuple[str, str, str], list[str
 
 
 def rulebook_lookup(df: DataFrame, grid: DataFrame) -> DataFrame:
-    """Adds the cell's pool; the grid is 12 x 3 x 3 rows whatever the data, hence the broadcast."""
-    return df.join(F.broadcast(grid), CELL, "left")
+    """Adds the cell's pool. The seed grid is small enough that Spark broadcasts it by itself; a larger one it joins otherwise."""
+    return df.join(grid, CELL, "left")
 
 
 def candidates(states: DataFrame, grid: DataFrame, slab_s: float, cuts: dict[str, float] | None = None) -> DataFrame:
@@ -69,16 +69,23 @@ def recommend(states: DataFrame, grid: DataFrame, slab_s: float, cuts: dict[str,
     return emit_on_change(df, ["room_id"], ["t", "frame_id"], slab_s, signature, dwell)
 
 
-def adjacency(spark: SparkSession, grid: DataFrame | None = None) -> DataFrame:
-    """Per cell, the genres one band step away (arousal up, down, then valence up, down), first seen first."""
-    pools = {(b, v, a): p for b, v, a, p in (C.rulebook_rows() if grid is None else
-                                             [tuple(r) for r in grid.select(*CELL, "pool").limit(200).collect()])}
-    steps = {"low": ("mid", None), "mid": ("high", "low"), "high": (None, "mid")}
-    rows = []
-    for b, v, a in pools:
-        near = [(b, v, s) for s in steps[a] if s] + [(b, s, a) for s in steps[v] if s]
-        rows.append((b, v, a, list(dict.fromkeys(g for cell in near for g in pools[cell]))))
-    return spark.createDataFrame(rows, "bucket string, vband string, aband string, near array<string>")
+def adjacency(grid: DataFrame) -> DataFrame:
+    """Per cell, the genres one band step away (arousal up, down, then valence up, down), first seen first.
+
+    Neighbours that the grid does not have add nothing."""
+    def up(band):
+        return F.when(F.col(band) == "low", "mid").when(F.col(band) == "mid", "high")
+
+    def down(band):
+        return F.when(F.col(band) == "high", "mid").when(F.col(band) == "mid", "low")
+
+    steps = [(F.col("vband"), up("aband")), (F.col("vband"), down("aband")), (up("vband"), F.col("aband")), (down("vband"), F.col("aband"))]
+    near = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v"), a.alias("a")) for i, (v, a) in enumerate(steps)])
+    asked = grid.select(*CELL, F.explode(near).alias("s")).select(*CELL, "s.*")
+    other = grid.select(F.col("bucket").alias("_b"), F.col("vband").alias("_v"), F.col("aband").alias("_a"), F.col("pool").alias("_p"))
+    found = asked.join(other, (F.col("bucket") == F.col("_b")) & (F.col("v") == F.col("_v")) & (F.col("a") == F.col("_a")), "left")
+    pools = F.sort_array(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("i", F.col("_p").alias("p")))))  # at most four
+    return found.groupBy(*CELL).agg(F.array_distinct(F.flatten(F.transform(pools, lambda x: x["p"]))).alias("near"))
 
 
 def adjacent_pool(recs: DataFrame, near: DataFrame, out: str = "adjacent_pool") -> DataFrame:
@@ -86,7 +93,7 @@ def adjacent_pool(recs: DataFrame, near: DataFrame, out: str = "adjacent_pool")
     cell = F.col("matched_cell")
     keyed = recs.withColumns({c: F.when(F.size(cell) == 3, F.get(cell, F.lit(i))) for i, c in enumerate(["_b", "_v", "_a"])})
     n = near.select(F.col("bucket").alias("_b"), F.col("vband").alias("_v"), F.col("aband").alias("_a"), "near")
-    joined = keyed.join(F.broadcast(n), ["_b", "_v", "_a"], "left")
+    joined = keyed.join(n, ["_b", "_v", "_a"], "left")
     pool = F.array_except(F.coalesce("near", F.array().cast("array<string>")),
                           F.coalesce("genre_pool", F.array().cast("array<string>")))
     return joined.withColumn(out, pool).drop("_b", "_v", "_a", "near")

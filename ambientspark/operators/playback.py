@@ -53,47 +53,75 @@ def played_through(obs: DataFrame, selections: DataFrame, vetoes: DataFrame, sla
     return unvetoed_completions(ended, selections, vetoes, slab_s)
 
 
-def playlist_items(tracks: DataFrame, order: str = "track_id", first: int = C.PLAYLIST_ITEMS) -> DataFrame:
-    """One row per (genre, tier): its playlist's first items, in order. Pools need no more than that."""
-    w = Window.partitionBy("genre", "tier").orderBy(order)
-    return (tracks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= first)
-            .groupBy("genre", "tier")
-            .agg(F.array_sort(F.collect_list(F.struct("_r", "track_id"))).alias("_i"))
-            .select("genre", "tier", F.transform("_i", lambda i: i["track_id"]).alias("candidates")))
+def playlist_items(tracks: DataFrame) -> DataFrame:
+    """Every track with its number, from 0, among the tracks of its (genre, tier): genre, tier, number, track_id.
+
+    Numbers follow the id's MD5, then the id, so the track of any one number is a uniform pick. A pair with very many tracks is
+    numbered in 256 parts, each from the sizes of the parts before it."""
+    digest = F.md5(F.col("track_id").cast("string"))
+    keyed = tracks.select("genre", "tier", "track_id", digest.alias("_h"), F.substring(digest, 1, 2).alias("_part"))
+    part = ["genre", "tier", "_part"]
+    before = F.sum("_n").over(Window.partitionBy("genre", "tier").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = keyed.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(*part, F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*part).orderBy("_h", "track_id")) - 1
+    return (keyed.withColumn("_inside", inside).join(sizes, part)
+            .select("genre", "tier", (F.col("_inside") + F.col("_before")).alias("number"), "track_id"))
 
 
 def pool_candidates(requests: DataFrame, items: DataFrame, pool: str = "genre_pool", tier: str = "tier",
                     request: str = "request_id") -> DataFrame:
-    """First genre of the pool, in priority order, that has tracks for the tier: genre and candidates.
+    """First genre of the pool, in priority order, that has tracks for the tier: adds picked_genre and n, how many.
 
-    Requests without any mapped genre are dropped. `items` (one row per playlist) is matched per
-    (genre, tier); a popular pair is an ordinary skewed join key, which adaptive execution splits."""
+    Requests without any mapped genre are dropped. Only the count per (genre, tier) meets the requests, never
+    a list of tracks; a popular pair is an ordinary skewed join key, which adaptive execution splits."""
+    sizes = items.groupBy("genre", "tier").agg(F.count(F.lit(1)).alias("n"))
     asked = requests.select(request, F.col(tier).alias("tier"), F.posexplode(pool).alias("pos", "genre"))
-    found = asked.join(items.select("genre", "tier"), ["genre", "tier"], "left_semi")
-    first = found.groupBy(request).agg(F.min_by(F.struct("genre", "tier"), "pos").alias("_g"))
-    picked = first.select(request, "_g.genre", "_g.tier").join(items, ["genre", "tier"])
-    return requests.join(picked.withColumnRenamed("genre", "picked_genre").drop("tier"), request)
+    first = asked.join(sizes, ["genre", "tier"]).groupBy(request).agg(F.min_by(F.struct("genre", "n"), "pos").alias("_g"))
+    return requests.join(first.select(request, F.col("_g.genre").alias("picked_genre"), F.col("_g.n").alias("n")), request)
+
 
+def suppress_recent(candidates: DataFrame, picks: DataFrame, items: DataFrame, n: int = C.RECENT_PICKS,
+                    request: str = "request_id") -> DataFrame:
+    """Bars each room's last n picks: adds `barred`, the numbers of its candidates that are recent, and takes them off n.
 
-def suppress_recent(candidates: DataFrame, picks: DataFrame, n: int = C.RECENT_PICKS) -> DataFrame:
-    """Removes each room's last n picks from its candidates; an emptied list is kept whole."""
+    Where all candidates are recent none is barred."""
     w = Window.partitionBy("room_id").orderBy(F.col("t").desc(), F.col("pick_id").desc())
-    recent = (picks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
-              .groupBy("room_id").agg(F.collect_set("track_id").alias("_recent")))
-    df = candidates.join(recent, "room_id", "left")
-    fresh = F.array_except("candidates", F.coalesce("_recent", F.slice("candidates", 1, 0)))
-    return df.withColumn("candidates", F.when(F.size(fresh) > 0, fresh).otherwise(F.col("candidates"))).drop("_recent")
+    recent = picks.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select("room_id", "track_id").distinct()
+    asked = candidates.select(request, "room_id", F.col("picked_genre").alias("genre"), "tier")
+    barred = (asked.join(recent, "room_id").join(items, ["genre", "tier", "track_id"])
+              .groupBy(request).agg(F.sort_array(F.collect_set("number")).alias("_b")))  # at most n numbers
+    some = F.when(F.size("_b") < F.col("n"), F.col("_b")).otherwise(F.array().cast("array<bigint>"))
+    df = candidates.join(barred, request, "left").withColumn("barred", F.coalesce(some, F.array().cast("array<bigint>"))).drop("_b")
+    return df.withColumn("n", F.col("n") - F.size("barred"))
+
+
+def drawn(request: str, n: str, seed: int = 0, draw: Column | int = 0) -> Column:
+    """A number below n, by a hash of (request, seed, draw): uniform and repeatable."""
+    text = F.concat_ws(":", F.col(request).cast("string"), F.lit(seed).cast("string"), F.lit(draw).cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.col(n))
+
 
+def random_pick(candidates: DataFrame, items: DataFrame, request: str = "request_id", seed: int = 0) -> DataFrame:
+    """candidates with track_id: one of the n that are not barred."""
+    number = drawn(request, "n", seed)
+    if "barred" in candidates.columns:
+        number = F.aggregate(F.sort_array("barred"), number, lambda at, b: F.when(b <= at, at + 1).otherwise(at))
+    asked = candidates.withColumns({"genre": F.col("picked_genre"), "number": number})
+    return asked.join(items, ["genre", "tier", "number"]).drop("genre", "number")
 
-def ranked(candidates: str, request: str, k: int, seed: int = 0) -> Column:
-    """The k candidates a request prefers, by a hash of (request, track): uniform and repeatable."""
-    scored = F.array_sort(F.transform(candidates, lambda c: F.struct(
-        F.xxhash64(request, c, F.lit(seed)).alias("h"), c.alias("id"))))
-    return F.transform(F.slice(scored, 1, k), lambda s: s["id"])
 
+def preferred(candidates: DataFrame, items: DataFrame, k: int, seed: int = 0, request: str = "request_id") -> DataFrame:
+    """candidates with `liked`: the first k different tracks that a request draws, or all if there are fewer.
 
-def random_pick(candidates: str, request: str, seed: int = 0) -> Column:
-    return F.get(ranked(candidates, request, 1, seed), F.lit(0))
+    Draws repeat now and then, so four times k are made; should they not suffice, the lowest numbers follow."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(4 * k - 1)), lambda j: drawn(request, "n", seed, j))
+    rest = F.sequence(F.lit(0).cast("bigint"), F.least(F.col("n"), F.lit(k)) - 1)
+    numbers = F.slice(F.array_distinct(F.concat(draws, rest)), 1, k)
+    asked = candidates.select(request, F.col("picked_genre").alias("genre"), "tier", F.posexplode(numbers).alias("pos", "number"))
+    liked = (asked.join(items, ["genre", "tier", "number"]).groupBy(request)
+             .agg(F.sort_array(F.collect_list(F.struct("pos", "track_id"))).alias("_l"))  # at most k
+             .select(request, F.transform("_l", lambda x: x["track_id"]).alias("liked")))
+    return candidates.join(liked, request)
 
 
 def select_tracks(requests: DataFrame, items: DataFrame, slab_s: float, recent: int = C.RECENT_PICKS,
@@ -102,7 +130,7 @@ def select_tracks(requests: DataFrame, items: DataFrame, slab_s: float, recent:
     unless the whole playlist is recent. Requests: request_id, room_id, t, genre_pool, tier.
 
     A request only needs its `recent` + 1 preferred tracks, since at most `recent` are barred."""
-    df = pool_candidates(requests, items).withColumn("liked", ranked("candidates", "request_id", recent + 1, seed))
+    df = preferred(pool_candidates(requests, items), items, recent + 1, seed)
 
     def pick(last, row):
         chosen = next((i for i in row["liked"] if i not in last), row["liked"][0])

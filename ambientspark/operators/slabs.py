@@ -211,12 +211,10 @@ RESET = 3 * _SPAN  # whole blocks, so a value that was only reset and held stays
 def hashed(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Hash by keys and sort within partitions, for a Python step.
 
-    With a partition count that suits the cores it is stated outright, so that small inputs stay
-    parallel; a count far above them is left to adaptive execution to merge."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = df.repartition(n, *keys) if n <= 4 * spark.sparkContext.defaultParallelism else df.repartition(*keys)
-    return split.sortWithinPartitions(*keys, *order)
+    The session's number of shuffle partitions is stated outright: rows are few next to the work a Python step
+    does for each, so merging small partitions would only idle cores."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -229,9 +227,14 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir where the cluster names one; a private folder otherwise (local runs)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Only a local master, where all are one process, gets a folder of its own if none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"{tempfile.mkdtemp(prefix='ambientspark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named

@@ -12,7 +12,7 @@ _PAIRS = """pairs AS MATERIALIZED (SELECT a.room_id, a.evidence_id AS i, b.evide
 _SMEAR = f"greatest({ramp('dispersion', '0.35e0', '0.7e0')}, {ramp('fragmentation', '0.3e0', '0.8e0')})"
 _LOUD = f"""CASE WHEN playback_active AND noise_floor_dbfs IS NOT NULL THEN {ramp('(loudness_dbfs - noise_floor_dbfs)', '3', '12')}
     ELSE {ramp('loudness_dbfs', '(-45.0e0)', '(-20.0e0)')} END"""
-_TICKS = """ticks AS (SELECT room_id, evidence_id AS frame_id, "at" AS t FROM evidence WHERE evidence_id % 5 = 4)"""
+_TICKS = """ticks AS (SELECT room_id, evidence_id AS frame_id, "at" AS t FROM evidence)"""
 _OBS = """obs AS MATERIALIZED (SELECT *, lag(track_id) OVER w AS p_track, lag(progress_s) OVER w AS p_progress, lag(duration_s) OVER w AS p_duration
   FROM (SELECT * REPLACE (CASE WHEN is_playing THEN track_id END AS track_id) FROM now_playing_obs) WINDOW w AS (PARTITION BY room_id ORDER BY t, obs_id))"""
 _ENDS = """ends AS MATERIALIZED (SELECT *, p_progress >= p_duration - 3 AS completed FROM obs WHERE p_track IS NOT NULL AND p_track IS DISTINCT FROM track_id)"""
@@ -31,12 +31,29 @@ _DONE = (_OBS, _ENDS, *_recent("chosen", "selections", "pick_id", 8), *_recent("
          """done AS MATERIALIZED (SELECT e.* FROM ends e ASOF LEFT JOIN chosen c ON e.room_id = c.room_id AND e.t >= c.t
               ASOF LEFT JOIN vetoed v ON e.room_id = v.room_id AND e.t >= v.t
             WHERE e.completed AND list_contains(c.live, e.p_track) AND NOT coalesce(list_contains(v.live, e.p_track), false))""")
-_ITEMS = """items AS MATERIALIZED (SELECT genre, tier, count(*) AS n, max(track_id) AS last_id, list(track_id) AS ids FROM (
-    SELECT *, row_number() OVER (PARTITION BY genre, tier ORDER BY track_id) AS r FROM tracks) WHERE r <= 100 GROUP BY 1, 2)"""
+_ITEMS = """numbered AS MATERIALIZED (SELECT genre, tier, track_id, row_number() OVER (PARTITION BY genre, tier ORDER BY md5(CAST(track_id AS VARCHAR)), track_id) - 1 AS number FROM tracks),
+items AS MATERIALIZED (SELECT genre, tier, count(*) AS n, max(track_id) AS last_id, max_by(track_id, number) AS last_numbered FROM numbered GROUP BY 1, 2)"""
 _REQ = """req AS MATERIALIZED (SELECT pick_id AS request_id, room_id, t, CASE pick_id % 4 WHEN 0 THEN ['NONE', 'ECONOMY'] WHEN 1 THEN ['SMALL', 'LARGE']
     WHEN 2 THEN ['NONE'] ELSE ['PROMO', 'SMALL'] END AS pool, CASE pick_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS tier FROM selections)"""
-_FIRST = """firsts AS MATERIALIZED (SELECT q.*, i.genre, i.n, i.ids FROM req q JOIN range(1, 3) r(k) ON true
+_FIRST = """firsts AS MATERIALIZED (SELECT q.*, i.genre, i.n FROM req q JOIN range(1, 3) r(k) ON true
     JOIN items i ON i.genre = q.pool[k] AND i.tier = q.tier QUALIFY row_number() OVER (PARTITION BY q.request_id ORDER BY k) = 1)"""
+
+
+def _drawn(request: str, seed: int, draw: str | int, n: str) -> str:
+    return f"CAST('0x' || substr(md5({request} || ':{seed}:' || {draw}), 1, 8) AS BIGINT) % {n}"
+
+
+_PICKED = (f"""draws AS MATERIALIZED (SELECT request_id, number, min(pos) AS pos FROM (
+      SELECT request_id, {_drawn('request_id', 0, 'j', 'n')} AS number, j AS pos FROM firsts, range(0, 44) r(j)
+      UNION ALL SELECT request_id, j, 44 + j FROM firsts, range(0, 11) r(j) WHERE j < n) GROUP BY 1, 2)""",
+    """liked AS MATERIALIZED (SELECT f.request_id, list(i.track_id ORDER BY d.pos) AS ids FROM firsts f JOIN (
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS r FROM draws) d ON d.request_id = f.request_id AND d.r <= 11
+      JOIN numbered i ON i.genre = f.genre AND i.tier = f.tier AND i.number = d.number GROUP BY 1)""",
+    """asks AS MATERIALIZED (SELECT f.*, l.ids, row_number() OVER (PARTITION BY room_id ORDER BY t, request_id) AS rn FROM firsts f JOIN liked l USING (request_id))""",
+    """sel AS (SELECT room_id, rn, request_id, t, tier, genre, [ids[1]] AS last, ids[1] AS track_id FROM asks WHERE rn = 1
+      UNION ALL SELECT room_id, rn, request_id, t, tier, genre, list_append(last, c)[-10:], c FROM (
+        SELECT s.room_id, s.rn, s.request_id, s.t, s.tier, s.genre, e.last, coalesce(list_filter(s.ids, lambda x: NOT list_contains(e.last, x))[1], s.ids[1]) AS c
+        FROM sel e JOIN asks s ON s.room_id = e.room_id AND s.rn = e.rn + 1))""")
 _STUDY = """study AS MATERIALIZED (SELECT f.*, p.phase FROM (SELECT frame_id, t, v_raw + CASE WHEN t > 60 THEN 0.3e0 ELSE 0.0e0 END AS valence, a_raw AS arousal,
     speech_raw, loudness_raw, activity_raw, RUNG AS rung FROM frames) f JOIN phases p ON f.t >= p.start_s AND f.t < p.end_s)""".replace("RUNG", rung("log2_est"))
 
@@ -100,15 +117,20 @@ ORACLES = {
     "vanished_tracks": with_views("now_playing_obs", "SELECT obs_id, p_track AS prev_track_id FROM ends WHERE NOT completed", _OBS, _ENDS),
     "recent_ids": with_views("selections", "SELECT pick_id, array_to_string(live, ',') AS live FROM mem", *_recent("mem", "selections", "pick_id", 4)),
     "played_through": with_views("now_playing_obs selections track_vetoes", "SELECT obs_id, room_id, p_track AS prev_track_id FROM done", *_DONE),
-    "playlist_items": with_views("tracks", "SELECT genre, tier, n, last_id FROM items", _ITEMS),
+    "playlist_items": with_views("tracks", "SELECT genre, tier, n, last_id, last_numbered FROM items", _ITEMS),
     "pool_candidates": with_views("tracks selections", "SELECT request_id, genre AS picked_genre, tier, n FROM firsts", _ITEMS, _REQ, _FIRST),
-    "suppress_recent": with_views("tracks selections", """
-        SELECT room_id, request_id, CAST(len(c) AS BIGINT) AS n, CAST(list_sum(c) AS BIGINT) AS id_sum
-        FROM (SELECT f.room_id, f.request_id, CASE WHEN len(list_filter(f.ids, lambda x: NOT list_contains(p.recent, x))) > 0
-            THEN list_filter(f.ids, lambda x: NOT list_contains(p.recent, x)) ELSE f.ids END AS c
-          FROM (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY room_id ORDER BY t DESC) = 1) f
-          JOIN (SELECT room_id, list(pick_id % 300) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY t DESC, pick_id DESC) AS r FROM selections)
-                WHERE r <= 10 GROUP BY 1) p USING (room_id))""", _ITEMS, _REQ.replace("FROM selections)", "FROM selections WHERE pick_id % 4 <> 2)"), _FIRST),
+    "suppress_recent": with_views("tracks selections", f"""
+        SELECT room_id, request_id, m AS n, array_to_string(barred, ',') AS barred, i.track_id
+        FROM (SELECT *, list_reduce(list_prepend({_drawn('request_id', 3, 0, 'm')}, barred), lambda k, b: CASE WHEN b <= k THEN k + 1 ELSE k END) AS number
+          FROM (SELECT *, n - len(barred) AS m FROM (SELECT f.*, CASE WHEN len(b.numbers) < f.n THEN b.numbers ELSE CAST([] AS BIGINT[]) END AS barred
+            FROM firsts f LEFT JOIN (SELECT f.request_id, list_sort(list(DISTINCT i.number)) AS numbers FROM firsts f JOIN last_picks p USING (room_id)
+              JOIN numbered i ON i.genre = f.genre AND i.tier = f.tier AND i.track_id = p.track_id GROUP BY 1) b USING (request_id)))) q
+        JOIN numbered i ON i.genre = q.genre AND i.tier = q.tier AND i.number = q.number""", _ITEMS, _REQ, _FIRST,
+        """last_picks AS MATERIALIZED (SELECT DISTINCT room_id, pick_id % 300 AS track_id FROM (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY t DESC, pick_id DESC) AS r
+             FROM selections) WHERE r <= 10)"""),
+    "random_pick": with_views("tracks selections", f"""SELECT request_id, i.track_id FROM firsts f
+        JOIN numbered i ON i.genre = f.genre AND i.tier = f.tier AND i.number = {_drawn('f.request_id', 0, 0, 'f.n')}""", _ITEMS, _REQ, _FIRST),
+    "select_tracks": with_views("tracks selections", "SELECT request_id, room_id, t, tier, genre, track_id FROM sel", _ITEMS, _REQ, _FIRST, *_PICKED),
     "mapped_cells": with_views("tracks", "SELECT DISTINCT genre, tier FROM tracks"),
     "completions": with_views("now_playing_obs selections track_vetoes frames", """
         SELECT obs_id, p_track AS prev_track_id, basis IN ('fresh', 'handoff', 'tap') AS occupied, basis, stale AS staleness_s FROM (
@@ -125,7 +147,7 @@ ORACLES = {
         FROM (SELECT *, obs_id % 9 <> 0 AND obs_id % 7 <> 0 AS ok FROM now_playing_obs)"""),
     "playlist_item_rows": with_views("tracks", """
         SELECT playlist_id, r - 1 AS pos, 'uri' || track_id AS track_id, title, genre AS artist, duration_s
-        FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY track_id) AS r FROM tracks) WHERE r <= 100 AND track_id % 11 <> 0"""),
+        FROM (SELECT *, row_number() OVER (PARTITION BY playlist_id ORDER BY track_id) AS r FROM tracks) WHERE track_id % 11 <> 0"""),
     "frames_in_phase": with_views("frames phases", "SELECT frame_id, phase FROM study", _STUDY),
     "phase_summary": with_views("frames phases", """
         SELECT phase, count(*) AS frames, round(avg(valence), 6) AS mean_valence, round(avg(arousal), 6) AS mean_arousal, min(rung) AS min_rung, max(rung) AS max_rung,

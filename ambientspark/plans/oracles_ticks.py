@@ -54,7 +54,7 @@ def trend(x):
 
 
 _READINGS = """readings AS MATERIALIZED (SELECT room_id, t AS at, frame_id AS reading_id, v_raw AS valence, a_raw AS arousal,
-    speech_raw AS confidence FROM frames WHERE speech_raw >= 0.2 AND frame_id % 3 <> 1)"""
+    speech_raw AS confidence FROM frames WHERE speech_raw >= 0.2)"""
 _HELD = """held AS MATERIALIZED (SELECT f.*, r.at, r.reading_id, r.valence, r.arousal, r.confidence,
     CASE WHEN r.at IS NOT NULL THEN greatest(0, f.t - r.at) END AS staleness_s
     FROM frames f ASOF LEFT JOIN readings r ON f.room_id = r.room_id AND f.t >= r.at)"""
@@ -227,7 +227,7 @@ ORACLES = {
         CASE WHEN staleness_s <= 20 THEN {mood('valence', 'arousal')} END AS mood FROM held""", _READINGS, _HELD),
     "asof_playback": with_views("frames now_playing_obs", """
         SELECT frame_id, coalesce(o.is_playing AND o.tr IS NOT NULL, false) AS playback_active, CASE WHEN o.is_playing THEN o.tr END AS playback_track_id
-        FROM frames f ASOF LEFT JOIN (SELECT room_id, t, is_playing, CASE WHEN obs_id % 24 <> 0 THEN track_id END AS tr FROM now_playing_obs WHERE obs_id % 4 = 0) o
+        FROM frames f ASOF LEFT JOIN (SELECT room_id, t, is_playing, CASE WHEN obs_id % 24 <> 0 THEN track_id END AS tr FROM now_playing_obs) o
           ON f.room_id = o.room_id AND f.t >= o.t"""),
     "asof_max_age": with_views(_F, "SELECT frame_id, CASE WHEN staleness_s <= 5 THEN valence END AS valence FROM held", _READINGS, _HELD),
     "clean_baseline": with_views(_F, "SELECT frame_id, banked, clean, round(base_valence, 6) AS base_valence, round(base_arousal, 6) AS base_arousal FROM measured", *MEASURED),

@@ -49,13 +49,13 @@ def crowd_estimate(spark, sf):
 
 
 def _evidence_ticks(spark, sf):
-    return V.evidence(spark, sf).filter("evidence_id % 5 = 4").selectExpr(
+    return V.evidence(spark, sf).selectExpr(
         "room_id", "evidence_id AS frame_id", "at AS t", "0.9D AS speech_ratio", "-30.0D + evidence_id % 7 AS loudness_dbfs",
         "evidence_id % 2 = 0 AS playback_active", "-45.0D AS noise_floor_dbfs")
 
 
 def evidence_window(spark, sf):
-    """Rolling buffer of 20 s, at most 6 embeddings, at every fifth evidence time."""
+    """Rolling buffer of 20 s, at most 6 embeddings, at every evidence time."""
     df = joins.evidence_window(_evidence_ticks(spark, sf), V.evidence(spark, sf), ROOM, V.slab(spark, sf, "evidence"),
                                ["duration_s"], "frame_id", 20.0, 6)
     return df.select("frame_id", "evidence_id")
@@ -119,32 +119,30 @@ def _requests(spark, sf):
 
 def playlist_items(spark, sf):
     df = playback.playlist_items(V.tracks(spark, sf))
-    return df.select("genre", "tier", F.size("candidates").cast("bigint").alias("n"), F.array_max("candidates").alias("last_id"))
+    return df.groupBy("genre", "tier").agg(F.count("*").alias("n"), F.max("track_id").alias("last_id"), F.max_by("track_id", "number").alias("last_numbered"))
 
 
 def pool_candidates(spark, sf):
     df = playback.pool_candidates(_requests(spark, sf), playback.playlist_items(V.tracks(spark, sf)))
-    return df.select("request_id", "picked_genre", "tier", F.size("candidates").cast("bigint").alias("n"))
+    return df.select("request_id", "picked_genre", "tier", "n")
 
 
 def suppress_recent(spark, sf):
-    """Candidates of every room's newest request after removing the room's last ten picks."""
-    items = playback.playlist_items(V.tracks(spark, sf))
-    newest = _requests(spark, sf).filter("request_id % 4 <> 2").groupBy("room_id").agg(
-        F.max_by(F.struct("request_id", "genre_pool", "tier"), "t").alias("q")).select("room_id", "q.*")
+    """How many candidates every request has left, which numbers are barred, and one pick of the rest."""
+    items = slabs.stage(playback.playlist_items(V.tracks(spark, sf)))
     picks = V.selections(spark, sf).selectExpr("room_id", "t", "pick_id", "pick_id % 300 AS track_id")
-    df = playback.suppress_recent(playback.pool_candidates(newest, items), picks)
-    return df.select("room_id", "request_id", F.size("candidates").cast("bigint").alias("n"),
-                     F.aggregate("candidates", F.lit(0).cast("bigint"), lambda s, c: s + c).alias("id_sum"))
+    df = playback.suppress_recent(playback.pool_candidates(_requests(spark, sf), items), picks, items)
+    df = playback.random_pick(df, items, seed=3)
+    return df.select("room_id", "request_id", "n", F.array_join("barred", ",").alias("barred"), "track_id")
 
 
 def random_pick(spark, sf):
-    df = playback.pool_candidates(_requests(spark, sf), playback.playlist_items(V.tracks(spark, sf)))
-    return df.select("request_id", playback.random_pick("candidates", "request_id").alias("track_id"))
+    items = slabs.stage(playback.playlist_items(V.tracks(spark, sf)))
+    return playback.random_pick(playback.pool_candidates(_requests(spark, sf), items), items).select("request_id", "track_id")
 
 
 def select_tracks(spark, sf):
-    return playback.select_tracks(_requests(spark, sf), playback.playlist_items(V.tracks(spark, sf)), V.slab(spark, sf))
+    return playback.select_tracks(_requests(spark, sf), slabs.stage(playback.playlist_items(V.tracks(spark, sf))), V.slab(spark, sf))
 
 
 def _recs(spark, sf):
@@ -155,7 +153,7 @@ def _genre_items(spark, sf):
     """Playlists under the grid's genre names, two of them per part type."""
     names = F.array(*[F.lit(g) for g in ("Pop", "Hip-Hop", "Jazz", "Rock", "Dance", "Soul", "R&B", "Country", "Classical")])
     tracks = V.tracks(spark, sf).withColumn("genre", F.get(names, (F.col("track_id") % 9).cast("int")))
-    return playback.playlist_items(tracks)
+    return slabs.stage(playback.playlist_items(tracks))
 
 
 def picks_for_recommendations(spark, sf):
@@ -163,7 +161,7 @@ def picks_for_recommendations(spark, sf):
 
 
 def wrong_vibe_alternatives(spark, sf):
-    return room.wrong_vibe_alternatives(_recs(spark, sf), mapping.adjacency(spark), _genre_items(spark, sf), V.slab(spark, sf))
+    return room.wrong_vibe_alternatives(_recs(spark, sf), mapping.adjacency(mapping.rulebook(spark)), _genre_items(spark, sf), V.slab(spark, sf))
 
 
 def mapped_cells(spark, sf):
@@ -206,14 +204,13 @@ def now_playing_rows(spark, sf):
 
 
 def playlist_item_rows(spark, sf):
-    """Playlist payloads, one page of a hundred entries per brand, flattened to playable tracks."""
+    """Playlist payloads, one per brand, flattened to playable tracks."""
     t = V.tracks(spark, sf)
     entry = F.struct(F.struct(F.when(F.col("track_id") % 11 != 0, F.concat(F.lit("uri"), "track_id")).alias("uri"), F.col("title").alias("name"),
                               F.array(F.struct(F.col("genre").alias("name"))).alias("artists"),
                               (F.col("duration_s") * 1000).cast("bigint").alias("duration_ms")).alias("item"))
     w = Window.partitionBy("playlist_id").orderBy("track_id")
-    page = t.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= C.PLAYLIST_ITEMS)
-    docs = page.groupBy("playlist_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(
+    docs = t.withColumn("_r", F.row_number().over(w)).groupBy("playlist_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(
         F.struct("_r", entry.alias("e")))), lambda x: x["e"]).alias("items"))).alias("payload"))
     return payloads.flatten_playlist_items(docs, "payload").select("playlist_id", "pos", "track_id", "title", "artist", "duration_s")
 

@@ -183,7 +183,7 @@ def emit_on_change(spark, sf):
 # --- as-of ---------------------------------------------------------------------
 
 def _readings(spark, sf):
-    return (V.frames(spark, sf).filter((F.col("speech_raw") >= C.MIN_SPEECH_RATIO) & (F.col("frame_id") % 3 != 1))
+    return (V.frames(spark, sf).filter(F.col("speech_raw") >= C.MIN_SPEECH_RATIO)
             .select("room_id", F.col("t").alias("at"), F.col("frame_id").alias("reading_id"),
                     F.col("v_raw").alias("valence"), F.col("a_raw").alias("arousal"), F.col("speech_raw").alias("confidence")))
 
@@ -201,7 +201,7 @@ def asof_reading(spark, sf):
 
 
 def asof_playback(spark, sf):
-    obs = V.now_playing_obs(spark, sf).filter("obs_id % 4 = 0").selectExpr(
+    obs = V.now_playing_obs(spark, sf).selectExpr(
         "room_id", "t", "obs_id", "CASE WHEN obs_id % 24 <> 0 THEN track_id END AS obs_track", "is_playing AS obs_playing")
     out = joins.asof_playback(_ticks(spark, sf), obs, ROOM, V.slab(spark, sf))
     return out.select("frame_id", "playback_active", "playback_track_id")
@@ -357,7 +357,7 @@ def recommendations(spark, sf):
 
 def adjacent_pool(spark, sf):
     recs = mapping.candidates(_states(spark, sf), mapping.rulebook(spark), V.slab(spark, sf))
-    df = mapping.adjacent_pool(recs.select("frame_id", "matched_cell", "genre_pool"), mapping.adjacency(spark))
+    df = mapping.adjacent_pool(recs.select("frame_id", "matched_cell", "genre_pool"), mapping.adjacency(mapping.rulebook(spark)))
     return df.select("frame_id", F.array_join("adjacent_pool", " / ").alias("pool"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ambientspark.functions import constants as C
 from ambientspark.sources import schemas as S
 
 
@@ -33,9 +32,9 @@ def flatten_now_playing(df: DataFrame, payload: str) -> DataFrame:
         when(F.coalesce("_p.is_playing", F.lit(False))).alias("is_playing"), when(F.col("_p.device.id")).alias("device_id"))
 
 
-def flatten_playlist_items(df: DataFrame, payload: str, first: int = C.PLAYLIST_ITEMS) -> DataFrame:
-    """Track rows of the first entries of each playlist payload; entries without a uri are left out."""
-    items = F.slice(F.from_json(payload, S.PLAYLIST_PAYLOAD)["items"], 1, first)
+def flatten_playlist_items(df: DataFrame, payload: str) -> DataFrame:
+    """Track rows of the entries of each playlist payload; entries without a uri are left out."""
+    items = F.from_json(payload, S.PLAYLIST_PAYLOAD)["items"]
     rows = df.select(*[c for c in df.columns if c != payload], F.posexplode(items).alias("pos", "_e"))
     t = F.col("_e.item")
     return rows.filter(t["uri"] != "").select(

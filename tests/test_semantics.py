@@ -69,7 +69,7 @@ def test_rungs(spark, x, b):
 def test_rulebook(spark):
     rows = {(b, v, a): p for b, v, a, p in C.rulebook_rows()}
     assert len(rows) == 108 and rows[("16", "low", "high")] == ["Hard Rock", "Rock"] and rows[("8", "low", "low")] == ["Blues"]
-    near = {(r.bucket, r.vband, r.aband): r.near for r in mapping.adjacency(spark).collect()}
+    near = {(r.bucket, r.vband, r.aband): r.near for r in mapping.adjacency(mapping.rulebook(spark)).collect()}
     assert near[("solo", "mid", "mid")] == ["Hip-Hop", "Classical"]
     assert near[("solo", "high", "high")] == ["Hip-Hop"]
 
