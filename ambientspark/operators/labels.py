@@ -5,7 +5,7 @@ Flat records are what `sources.logs.flatten_*` projects out of the nested logs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ambientspark.functions import constants as C, columns as col
 from ambientspark.operators.joins import tap_ages, tap_in_window
@@ -17,13 +17,21 @@ def split_rejects(df: DataFrame, reason) -> tuple[DataFrame, DataFrame]:
     return checked.filter("reject_reason IS NULL").drop("reject_reason"), checked.filter("reject_reason IS NOT NULL")
 
 
+def _present(df: DataFrame, name: str):
+    """The column, null where it is an object without any field."""
+    if isinstance(df.schema[name].dataType, T.StructType):
+        return F.when(F.to_json(name) != "{}", F.col(name))
+    return F.col(name)
+
+
 def validate_annotations(df: DataFrame, state="state", recommendation="recommendation") -> tuple[DataFrame, DataFrame]:
-    return split_rejects(df, col.annotation_reject_reason("verdict", state, recommendation))
+    return split_rejects(df, col.annotation_reject_reason("verdict", _present(df, state), _present(df, recommendation)))
 
 
 def validate_overrides(df: DataFrame, state="state", recommendation="recommendation", now_playing="now_playing",
                        chosen="chosen") -> tuple[DataFrame, DataFrame]:
-    return split_rejects(df, col.override_reject_reason("action", state, recommendation, now_playing, chosen))
+    parts = [_present(df, c) for c in (state, recommendation, now_playing, chosen)]
+    return split_rejects(df, col.override_reject_reason("action", *parts))
 
 
 def tap_times(annotations: DataFrame, overrides: DataFrame, keys: list[str] = ("room_id",)) -> DataFrame:

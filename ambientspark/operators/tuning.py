@@ -160,8 +160,9 @@ def gate_summary(gated: DataFrame) -> DataFrame:
 
 
 def session_counts(records: DataFrame, label: str) -> DataFrame:
-    """Records per UTC day and action / verdict."""
-    return records.groupBy(F.to_date(F.timestamp_seconds("ts")).cast("string").alias("day"), label) \
+    """Records per UTC day and action / verdict, whatever the session's time zone."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ts") / 86_400).cast("int")).cast("string")
+    return records.groupBy(day.alias("day"), label) \
         .agg(F.count("*").alias("records"))
 
 

@@ -132,7 +132,7 @@ ORACLES = {
     "validate_overrides": with_views("overrides", """
         SELECT rec_id, reject_reason FROM (
           SELECT rec_id, CASE WHEN rec_id % 97 = 0 OR rec_id % 89 = 0 THEN 'action'
-            WHEN rec_id % 83 = 0 OR valence IS NULL THEN 'state' WHEN cell IS NULL THEN 'recommendation'
+            WHEN rec_id % 83 = 0 OR rec_id % 71 = 0 OR valence IS NULL THEN 'state' WHEN cell IS NULL THEN 'recommendation'
             WHEN rec_id % 79 = 0 THEN 'now_playing'
             WHEN action = 'manual' AND chosen_tier IS NULL THEN 'chosen' END AS reject_reason FROM overrides)
         WHERE reject_reason IS NOT NULL"""),

@@ -125,11 +125,13 @@ def tap_times(spark, sf):
 
 
 def validate_overrides(spark, sf):
-    """Records with missing parts, by the first rule they break."""
+    """Records with missing parts or parts without any field, by the first rule they break."""
     raw = V.overrides(spark, sf).selectExpr(
         "rec_id", "CASE WHEN rec_id % 97 = 0 THEN 'rewind' WHEN rec_id % 89 = 0 THEN NULL ELSE action END AS action",
-        "CASE WHEN rec_id % 83 <> 0 THEN valence END AS state", "cell AS recommendation",
-        "CASE WHEN rec_id % 79 <> 0 THEN duration_s END AS now_playing", "chosen_tier AS chosen")
+        "IF(rec_id % 71 = 0, NULL, struct(CASE WHEN rec_id % 83 <> 0 THEN valence END AS valence)) AS state", "struct(cell AS matched_cell) AS recommendation",
+        "CASE WHEN rec_id % 79 <> 0 THEN struct(struct(duration_s) AS track, 1.0D AS progress_s) "
+        "ELSE from_json('{}', 'track STRUCT<duration_s: DOUBLE>, progress_s DOUBLE') END AS now_playing",
+        "struct(chosen_tier AS tier) AS chosen")
     _, rejected = labels.validate_overrides(raw)
     return rejected.select("rec_id", "reject_reason")
 
@@ -137,7 +139,7 @@ def validate_overrides(spark, sf):
 def validate_annotations(spark, sf):
     raw = V.annotations(spark, sf).selectExpr(
         "rec_id", "CASE WHEN rec_id % 97 = 0 THEN 'meh' WHEN rec_id % 89 = 0 THEN NULL ELSE verdict END AS verdict",
-        "valence AS state", "CASE WHEN rec_id % 83 <> 0 THEN cell END AS recommendation")
+        "struct(valence AS valence) AS state", "struct(CASE WHEN rec_id % 83 <> 0 THEN cell END AS matched_cell) AS recommendation")
     _, rejected = labels.validate_annotations(raw)
     return rejected.select("rec_id", "reject_reason")
 

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ambientspark.operators import labels, tuning
+from ambientspark.operators.slabs import stage
 
 
 def tuning_report(annotations: DataFrame, overrides: DataFrame, slab_s: float,
-                  keys: list[str] = ("room_id",), persist: bool = True) -> dict[str, DataFrame]:
+                  keys: list[str] = ("room_id",)) -> dict[str, DataFrame]:
     """Sections of the report over flat label records; each is lazy.
 
-    The gated corpus feeds every override section, so it is persisted (and recomputed from
-    its lineage should an executor go)."""
+    The gated corpus feeds every override section, so it is written once to the shared folder."""
     taps = labels.tap_times(annotations, overrides, list(keys))
-    gated = labels.gate_overrides(overrides, taps, slab_s, list(keys))
-    if persist:
-        gated = gated.persist()
+    gated = stage(labels.gate_overrides(overrides, taps, slab_s, list(keys)))
     usable = labels.usable(gated)
     return {
         "verdict_totals": tuning.verdict_totals(annotations),

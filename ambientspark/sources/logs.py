@@ -7,31 +7,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ambientspark.sources import schemas as S
 
 CORRUPT = "_corrupt"
+REJECT = "value STRING, file STRING, fault STRING"
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
-    """(records, malformed lines with their file). Blank lines and bad lines never fail the read.
-
-    Lines that are not JSON of the fixed schema are malformed; every non-blank line lands on
-    exactly one side."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    """(records, rejected lines with their file and fault). Blank lines and bad lines never fail the read.
+
+    A file that several paths name is read once. Every JSON object is a record: a field of another type than the
+    schema's reads as null, and its line is among the rejected ones too, with fault `field`. Lines that are
+    no JSON object are rejected with fault `line`."""
+    files = sorted(set(spark.read.text(paths).inputFiles()))
+    if not files:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], REJECT)
+    lines = spark.read.text(files).select("value", F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.withColumn("_r", F.from_json("value", f"{schema}, {CORRUPT} STRING", options))
-    good = parsed.filter(F.col(f"_r.{CORRUPT}").isNull()).select("_r.*").drop(CORRUPT)
-    return good, parsed.filter(F.col(f"_r.{CORRUPT}").isNotNull()).select("value", "file")
+    parsed = lines.withColumns({"_r": F.from_json("value", f"{schema}, {CORRUPT} STRING", options),
+                                "_object": F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))})
+    fault = F.when(~F.col("_object"), "line").when(F.col(f"_r.{CORRUPT}").isNotNull(), "field")
+    return (parsed.filter("_object").select("_r.*").drop(CORRUPT),
+            parsed.withColumn("fault", fault).filter(F.col("fault").isNotNull()).select("value", "file", "fault"))
 
 
-def read_annotations(spark, paths) -> DataFrame:
-    return read_jsonl(spark, paths, S.ANNOTATION)[0]
+def read_annotations(spark, paths) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected lines)."""
+    return read_jsonl(spark, paths, S.ANNOTATION)
 
 
-def read_overrides(spark, paths) -> DataFrame:
-    """Versions 1 and 2 in one scan; what version 1 lacks reads as null."""
-    return read_jsonl(spark, paths, S.OVERRIDE)[0]
+def read_overrides(spark, paths) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected lines); versions 1 and 2 in one scan, what version 1 lacks reads as null."""
+    return read_jsonl(spark, paths, S.OVERRIDE)
 
 
-def read_states(spark, paths) -> DataFrame:
-    return read_jsonl(spark, paths, S.ROOM_STATE)[0]
+def read_states(spark, paths) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected lines)."""
+    return read_jsonl(spark, paths, S.ROOM_STATE)
 
 
 def stream_states(spark, path, max_files: int = 100) -> DataFrame:
@@ -44,9 +53,9 @@ def write_states(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_daily(df: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append, one partition folder per day of `ts` in the session time zone."""
+    """Append, one partition folder per day of `ts` in the session time zone; a large day is split among writers by its size."""
     day = F.to_date(F.timestamp_seconds(ts)).cast("string")
-    df.withColumn("day", day).repartition("day", F.pmod(F.xxhash64(ts), F.lit(8))).write.partitionBy("day").mode("append").json(path)
+    df.withColumn("day", day).hint("rebalance", "day").write.partitionBy("day").mode("append").json(path)
 
 
 def _cuts():

@@ -9,31 +9,44 @@ from ambientspark.functions import constants as C, columns as col
 from ambientspark.sources import schemas as S
 
 
+def _append(df: DataFrame, path: str) -> None:
+    """Adds df as the newest version and leaves earlier ones as they are, so df may have been read from the same path.
+
+    Each record names its version; a record without key marks a version that may be empty."""
+    spark = df.sparkSession
+    now = spark.sql("SELECT unix_micros(now())").first()[0]
+    mark = spark.range(1).select(F.lit(now).alias("version"))
+    df.withColumn("version", F.lit(now)).unionByName(mark, allowMissingColumns=True).write.mode("append").json(path)
+
+
+def _newest(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Records of the newest complete version; files of before there were versions count as the oldest. Missing or corrupt files are empty."""
+    try:
+        raw = spark.read.schema(f"{schema}, version BIGINT").json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    last = raw.agg(F.max("version").alias("last"))
+    return raw.join(last, raw.version.eqNullSafe(last["last"]), "left_semi").filter(F.col(key).isNotNull()).drop("version")
+
+
 def write_signatures(df: DataFrame, path: str) -> None:
-    """Overwrite the snapshot; values rounded to 4 decimals."""
+    """A new version of the snapshot; values rounded to 4 decimals."""
     values = ("valence", "arousal", "pull_valence", "pull_arousal")
-    df.withColumns({c: col.round_even(c, 4) for c in values}).write.mode("overwrite").json(path)
+    _append(df.withColumns({c: col.round_even(c, 4) for c in values}), path)
 
 
 def read_signatures(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot, older files without pull columns included; a missing one is empty."""
-    try:
-        raw = spark.read.schema(S.SIGNATURE).json(path)
-    except AnalysisException:
-        return spark.createDataFrame([], S.SIGNATURE)
+    """The newest snapshot, older files without pull columns included; a missing or corrupt one is empty."""
     zero = {"pull_valence": F.lit(0.0), "pull_arousal": F.lit(0.0), "pull_refs": F.lit(0)}
-    return raw.withColumns({c: F.coalesce(c, z) for c, z in zero.items()})
+    return _newest(spark, path, S.SIGNATURE, "track_id").withColumns({c: F.coalesce(c, z) for c, z in zero.items()})
 
 
 def write_anchors(df: DataFrame, path: str) -> None:
-    df.select("room_id", col.round_even("anchor_dbfs", 1).alias("anchor_dbfs"), "ts").write.mode("overwrite").json(path)
+    _append(df.select("room_id", col.round_even("anchor_dbfs", 1).alias("anchor_dbfs"), "ts"), path)
 
 
 def read_anchors(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(S.ANCHOR).json(path)
-    except AnalysisException:
-        return spark.createDataFrame([], S.ANCHOR)
+    return _newest(spark, path, S.ANCHOR, "room_id")
 
 
 def usable_anchor(anchor: Column, ts: Column, now: Column, max_age_s: float = C.ANCHOR_MAX_AGE_S) -> Column:

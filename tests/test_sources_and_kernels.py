@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ambientspark.operators import labels, occupancy, playback, signal
+from ambientspark.operators import joins, labels, occupancy, playback, signal
 from ambientspark.plans.report import tuning_report
 from ambientspark.sources import logs, playlists, snapshots
 
@@ -26,10 +26,10 @@ def test_logs_and_report(spark, tmp_path):
     records = [override(10.0, "skip"), override(20.0, "played_through"), override(500.0, "played_through", stale=150.0),
                override(30.0, "manual", schema_version=2, chosen={"genre": "Jazz", "tier": "high"}, presence={"occupied": True, "basis": "fresh"})]
     path.write_text("\n".join([json.dumps(r) for r in records[:2]] + ["", "{broken"] + [json.dumps(r) for r in records[2:]]) + "\n")
-    good, bad = logs.read_jsonl(spark, str(path), logs.S.OVERRIDE)
+    good, bad = logs.read_jsonl(spark, [str(path), str(tmp_path / "*.jsonl")], logs.S.OVERRIDE)
     assert good.count() == 4
-    assert [(r["value"], r["file"].endswith("o.jsonl")) for r in bad.collect()] == [("{broken", True)]
-    flat = logs.flatten_overrides(logs.read_overrides(spark, str(path)))
+    assert [(r["value"], r["file"].endswith("o.jsonl"), r["fault"]) for r in bad.collect()] == [("{broken", True, "line")]
+    flat = logs.flatten_overrides(logs.read_overrides(spark, str(path))[0])
     notes = spark.createDataFrame([], logs.S.ANNOTATION)
     report = tuning_report(logs.flatten_annotations(notes), flat, 1000.0)
     summary = report["gate_summary"].first()
@@ -40,10 +40,36 @@ def test_logs_and_report(spark, tmp_path):
     ok, rejected = labels.validate_overrides(good)
     assert (ok.count(), rejected.count()) == (4, 0)
     logs.write_daily(good, str(tmp_path / "daily"))
-    again = logs.read_overrides(spark, str(tmp_path / "daily"))
+    again, none = logs.read_overrides(spark, str(tmp_path / "daily"))
+    assert none.count() == 0
     assert again.count() == 4 and [p.name for p in (tmp_path / "daily").glob("day=*")] == ["day=1970-01-01"]
 
 
+def test_type_slips_and_empty_objects(spark, tmp_path):
+    path = tmp_path / "slips.jsonl"
+    slip = override(1.0, "skip", refs=3.0)
+    slip["state"]["valence"] = "high"
+    empty = [override(2.0, "skip") | {part: {}} for part in ("state", "recommendation", "now_playing")] + [override(3.0, "manual", chosen={})]
+    path.write_text("\n".join(json.dumps(r) for r in [slip, *empty]) + "\n[1]\n")
+    good, bad = logs.read_overrides(spark, str(path))
+    assert good.count() == 5 and sorted(r["fault"] for r in bad.collect()) == ["field", "line"]
+    kept = good.filter("ts = 1.0").first()
+    assert kept["action"] == "skip" and kept["state"]["valence"] is None and kept["state"]["speech_ratio"] == 0.5
+    ok, rejected = labels.validate_overrides(good)
+    assert ok.count() == 1
+    assert sorted(r["reject_reason"] for r in rejected.collect()) == ["chosen", "now_playing", "recommendation", "state"]
+
+
+def test_overlapping_phases_label_alike_at_any_size(spark):
+    frames = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 50.0)], "frame_id long, t double")
+    few = [("x", 0.0, 6.0), ("y", 0.0, 2.0)]
+    many = few + [(f"z{k}", 1000.0 + k, 1001.0 + k) for k in range(2000)]
+    for rows in (few, many):
+        for slab in (0.7, 100.0):
+            got = joins.frames_in_phase(frames, spark.createDataFrame(rows, "phase string, start_s double, end_s double"), slab)
+            assert sorted((r["frame_id"], r["phase"]) for r in got.collect()) == [(1, "x"), (1, "y"), (2, "x")]
+
+
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "sig")
     assert snapshots.read_signatures(spark, path).count() == 0
@@ -53,6 +79,16 @@ def test_snapshots(spark, tmp_path):
     assert old.first()["pull_refs"] == 0
     snapshots.write_signatures(old, path)
     assert snapshots.read_signatures(spark, path).first()["valence"] == round(0.12345, 4)
+    more = spark.createDataFrame([("b", 0.5, 0.5, 1, 0.0, 0.0, 0)], logs.S.SIGNATURE)
+    snapshots.write_signatures(snapshots.read_signatures(spark, path).unionByName(more), path)
+    assert {r["track_id"] for r in snapshots.read_signatures(spark, path).collect()} == {"a", "b"}
+    snapshots.write_signatures(more.limit(0), path)
+    assert snapshots.read_signatures(spark, path).count() == 0
+    snapshots.write_signatures(more, str(tmp_path / "old"))
+    assert [r["track_id"] for r in snapshots.read_signatures(spark, str(tmp_path / "old")).collect()] == ["b"]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.json").write_text("{not json")
+    assert snapshots.read_signatures(spark, str(tmp_path / "bad")).count() == 0
     df = spark.createDataFrame([(-44.0, 0.0)], "a double, ts double")
     got = df.select(*[snapshots.usable_anchor(F.col("a"), F.col("ts"), F.lit(now)).alias(f"n{i}") for i, now in enumerate((100.0, 50_000.0, -1.0))]).first()
     assert tuple(got) == (-44.0, None, None)
