@@ -75,14 +75,18 @@ class Neighbours:
         return got / np.maximum(np.linalg.norm(got, axis=1, keepdims=True), 1e-12)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        """Share of label 1 among the nearest, weighted by similarity; of all labels where nothing is similar."""
+        """Share of label 1 among the nearest, weighted by similarity; of all labels where nothing is similar.
+
+        Labels count inversely to how often they occur, so that the rarer one is not outvoted by numbers alone.
+        """
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         out = np.full(len(texts), prior)
+        rarity = np.where(self.labels > 0, 1 / max(prior, 1e-9), 1 / max(1 - prior, 1e-9))
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts) if k else 0, BLOCK):
             similar = self.place(np.stack([term_counts(t) for t in texts[at : at + BLOCK]])) @ self.vectors.T
             near = np.argpartition(-similar, k - 1, axis=1)[:, :k] if k < similar.shape[1] else np.tile(np.arange(k), (len(similar), 1))
-            weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** SHARPNESS
+            weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** SHARPNESS * rarity[near]
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)
             out[at : at + BLOCK] = np.where(total > 1e-9, vote / np.maximum(total, 1e-9), prior)
