@@ -67,16 +67,15 @@ def cluster_mass(labelled: DataFrame, buffer: list[str], min_segments: int = C.M
         ((F.col("segments") - counted) / F.col("segments")).alias("fragmentation"))
 
 
-def _vector_sum(embeddings: Column) -> Column:
-    zeros = F.transform(F.get(embeddings, F.lit(0)), lambda v: v.cast("double") * 0.0)
-    return F.aggregate(embeddings, zeros, lambda acc, e: F.zip_with(acc, e, lambda a, b: a + b))
-
-
 def _cluster_sums(labelled: DataFrame, buffer: list[str]) -> DataFrame:
-    """One row per cluster with its vector sum; the mean cosine distance to it is then a dot product."""
-    return (labelled.groupBy(*buffer, "label").agg(F.collect_list("embedding").alias("es"), F.count("*").alias("n"))
-            .withColumn("vsum", _vector_sum(F.col("es")))
-            .withColumn("self", F.aggregate("es", F.lit(0.0), lambda acc, e: acc + col.dot(e, e))).drop("es"))
+    """One row per cluster with its vector sum; the mean cosine distance to it is then a dot product.
+
+    Components are summed one by one, which every task does for its own rows first: no cluster's vectors come together."""
+    part = [*buffer, "label"]
+    one = labelled.select(*part, F.posexplode("embedding").alias("_i", "_x")).groupBy(*part, "_i").agg(
+        F.sum(F.col("_x").cast("double")).alias("_s"), F.sum(F.col("_x").cast("double") * F.col("_x")).alias("_q"), F.count("*").alias("n"))
+    parts = one.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("_i", "_s"))).alias("_v"), F.sum("_q").alias("self"), F.max("n").alias("n"))
+    return parts.select(*part, "n", "self", F.transform("_v", lambda x: x["_s"]).alias("vsum"))
 
 
 def separation_score(labelled: DataFrame, buffer: list[str]) -> DataFrame:
@@ -137,15 +136,50 @@ def crowd_estimate(df: DataFrame, threshold: float = C.CLUSTER_THRESHOLD) -> Dat
         "confidence": col.clamp01((1.0 - w) * counted + w * 0.25)})
 
 
+def buffer_stats(evidence: DataFrame, buffer: list[str], threshold: float = C.CLUSTER_THRESHOLD, min_segments: int = C.MIN_CLUSTER_SEGMENTS,
+                 min_s: float = C.MIN_CLUSTER_S, min_frac: float = C.MIN_CLUSTER_FRAC, order: tuple[str, ...] = ("at", "evidence_id")) -> DataFrame:
+    """`threshold_cluster`, `cluster_mass`, `separation_score` and `dispersion` of capped buffers in one pass: one row per buffer."""
+    fields = [f for f in evidence.schema.fields if f.name in buffer]
+    ddl = ("segments long, evidence_s double, clusters long, raw_clusters long, stray_segments long, fragmentation double, "
+           "separation double, dispersion double")
+    schema = StructType([*fields, *StructType.fromDDL(ddl).fields])
+
+    def stats(pdf):
+        import numpy as np
+        import pandas as pd
+        pdf = pdf.sort_values(list(order), kind="stable")
+        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        label = average_linkage(1.0 - np.clip(x @ x.T, -1.0, 1.0), threshold)
+        seconds, n = pdf["duration_s"].to_numpy(float), len(x)
+        size, total = np.bincount(label), seconds.sum()
+        mass = np.bincount(label, weights=seconds)
+        heavy = ((size >= min_segments) | (mass >= min_s)) & (mass >= min_frac * total)
+        sums = np.zeros((len(size), x.shape[1]))
+        np.add.at(sums, label, x)
+        own, dots = np.einsum("ij,ij->i", x, x), x @ sums.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inside = 1.0 - (dots[np.arange(n), label] - own) / (size[label] - 1)
+        away = 1.0 - dots / size
+        away[np.arange(n), label] = np.inf
+        near = away.min(axis=1)
+        top = np.maximum(inside, near)
+        told = (size[label] > 1) & np.isfinite(near) & (top > 0)
+        separation = float(((near - inside)[told] / top[told]).mean()) if n >= 3 and told.any() else 0.0
+        many = size >= 2
+        spread = size * (size - 1.0) - (np.einsum("ij,ij->i", sums, sums) - np.bincount(label, weights=own))
+        dispersion_ = float((spread[many] / (size[many] - 1)).sum() / size[many].sum()) if many.any() else 0.0
+        stray = int(n - size[heavy].sum())
+        return pd.DataFrame([[*(pdf[f.name].iloc[0] for f in fields), n, total, len(size), max(int(heavy.sum()), 1), stray, stray / n, separation, dispersion_]], columns=schema.names)
+
+    return evidence.select(*buffer, *order, "duration_s", "embedding").groupBy(*buffer).applyInPandas(stats, schema)
+
+
 def headcount_estimate(ticks: DataFrame, evidence: DataFrame, slab_s: float, horizon_s: float = C.BUFFER_S,
                        cap: int = C.BUFFER_CAP) -> DataFrame:
     """Occupancy estimate per certified tick from its rolling evidence; ticks without evidence yield no row."""
     buffer = ["room_id", "frame_id"]
     window = evidence_window(ticks, evidence, ["room_id"], slab_s, ["duration_s", "embedding"], "frame_id", horizon_s, cap)
-    labelled = threshold_cluster(window.drop("t"), buffer)
-    stats = (cluster_mass(labelled, buffer).join(separation_score(labelled, buffer), buffer)
-             .join(dispersion(labelled, buffer), buffer))
-    return crowd_estimate(ticks.join(stats, buffer))
+    return crowd_estimate(ticks.join(buffer_stats(window.drop("t"), buffer), buffer))
 
 
 def headcount_series(ticks: DataFrame, estimates: DataFrame, slab_s: float) -> DataFrame:

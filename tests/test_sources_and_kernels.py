@@ -70,6 +70,25 @@ def test_overlapping_phases_label_alike_at_any_size(spark):
             assert sorted((r["frame_id"], r["phase"]) for r in got.collect()) == [(1, "x"), (1, "y"), (2, "x")]
 
 
+def test_one_pass_buffer_stats_equal_the_single_operators(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for room in range(6):
+        centres = rng.normal(size=(room + 1, 8))
+        for k in range(3 * room + 1):
+            x = centres[k % (room + 1)] + 0.2 * rng.normal(size=8)
+            rows.append((room, k, float(k), float(rng.uniform(0.5, 3)), [float(v) for v in x / np.linalg.norm(x)]))
+    df = spark.createDataFrame(rows, "room_id long, evidence_id long, at double, duration_s double, embedding array<double>")
+    labelled = occupancy.threshold_cluster(df, ["room_id"])
+    single = (occupancy.cluster_mass(labelled, ["room_id"]).join(occupancy.separation_score(labelled, ["room_id"]), "room_id")
+              .join(occupancy.dispersion(labelled, ["room_id"]), "room_id"))
+    want = {r["room_id"]: r.asDict() for r in single.collect()}
+    got = {r["room_id"]: r.asDict() for r in occupancy.buffer_stats(df, ["room_id"]).collect()}
+    assert got.keys() == want.keys()
+    for room, row in want.items():
+        assert got[room] == pytest.approx(row, abs=1e-9)
+
+
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "sig")
     assert snapshots.read_signatures(spark, path).count() == 0
