@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ambientspark.plans.oracle_views import ema_cte, with_views
-from ambientspark.plans.oracles_ticks import (_CANDS, _LADDER, _REC_OUT, _STATES, CORRECTED, clamp, energy, held_ema, keep_cte,
+from ambientspark.plans.oracles_ticks import (_CANDS, _LADDER, _NEAR, _REC_OUT, _STATES, CORRECTED, clamp, energy, held_ema, keep_cte,
                                               mood, pyround, ramp, rung, trend)
 
 _PAIRS = """pairs AS MATERIALIZED (SELECT a.room_id, a.evidence_id AS i, b.evidence_id AS j, a.label AS li, b.label AS lj,
@@ -54,6 +54,16 @@ _PICKED = (f"""draws AS MATERIALIZED (SELECT request_id, number, min(pos) AS pos
       UNION ALL SELECT room_id, rn, request_id, t, tier, genre, list_append(last, c)[-10:], c FROM (
         SELECT s.room_id, s.rn, s.request_id, s.t, s.tier, s.genre, e.last, coalesce(list_filter(s.ids, lambda x: NOT list_contains(e.last, x))[1], s.ids[1]) AS c
         FROM sel e JOIN asks s ON s.room_id = e.room_id AND s.rn = e.rn + 1))""")
+_GENRES = "['Pop', 'Hip-Hop', 'Jazz', 'Rock', 'Dance', 'Soul', 'R&B', 'Country', 'Classical'][1 + track_id % 9]"
+_GENRE_ITEMS = _ITEMS.replace("FROM tracks)", f"FROM (SELECT * REPLACE ({_GENRES} AS genre) FROM tracks))", 1)
+_REC_TIER = """['low', 'mid', 'high'][1 + greatest(0, least(2, CASE WHEN target_arousal > 0.25 THEN 2 WHEN target_arousal > -0.25 THEN 1 ELSE 0 END
+    + CASE energy_action WHEN 'raise' THEN 1 WHEN 'lower' THEN -1 ELSE 0 END))]"""
+_REC_REQ = f"req AS MATERIALIZED (SELECT frame_id AS request_id, room_id, t, pool, {_REC_TIER} AS tier FROM cands WHERE reason IS NULL)"
+_NEAR_REQ = f"""req AS MATERIALIZED (SELECT frame_id AS request_id, room_id, t, a.pool, {_REC_TIER} AS tier FROM cands JOIN (
+    SELECT frame_id, list_transform(list_sort(list({{'o': o, 'i': i, 'g': g}})), lambda x: x.g) AS pool
+    FROM (SELECT frame_id, g, min(o) AS o, min_by(i, o) AS i FROM near GROUP BY ALL) GROUP BY 1) a USING (frame_id) WHERE reason IS NULL)"""
+_ANY_FIRST = _FIRST.replace("range(1, 3)", "range(1, 20)")
+_PICK_OUT = "SELECT request_id, room_id, t, tier, genre, track_id FROM sel"
 _STUDY = """study AS MATERIALIZED (SELECT f.*, p.phase FROM (SELECT frame_id, t, v_raw + CASE WHEN t > 60 THEN 0.3e0 ELSE 0.0e0 END AS valence, a_raw AS arousal,
     speech_raw, loudness_raw, activity_raw, RUNG AS rung FROM frames) f JOIN phases p ON f.t >= p.start_s AND f.t < p.end_s)""".replace("RUNG", rung("log2_est"))
 
@@ -130,7 +140,9 @@ ORACLES = {
              FROM selections) WHERE r <= 10)"""),
     "random_pick": with_views("tracks selections", f"""SELECT request_id, i.track_id FROM firsts f
         JOIN numbered i ON i.genre = f.genre AND i.tier = f.tier AND i.number = {_drawn('f.request_id', 0, 0, 'f.n')}""", _ITEMS, _REQ, _FIRST),
-    "select_tracks": with_views("tracks selections", "SELECT request_id, room_id, t, tier, genre, track_id FROM sel", _ITEMS, _REQ, _FIRST, *_PICKED),
+    "select_tracks": with_views("tracks selections", _PICK_OUT, _ITEMS, _REQ, _FIRST, *_PICKED),
+    "picks_for_recommendations": with_views("tracks frames rulebook", _PICK_OUT, _STATES, _CANDS, _GENRE_ITEMS, _REC_REQ, _ANY_FIRST, *_PICKED),
+    "wrong_vibe_alternatives": with_views("tracks frames rulebook", _PICK_OUT, _STATES, _CANDS, _NEAR, _GENRE_ITEMS, _NEAR_REQ, _ANY_FIRST, *_PICKED),
     "mapped_cells": with_views("tracks", "SELECT DISTINCT genre, tier FROM tracks"),
     "completions": with_views("now_playing_obs selections track_vetoes frames", """
         SELECT obs_id, p_track AS prev_track_id, basis IN ('fresh', 'handoff', 'tap') AS occupied, basis, stale AS staleness_s FROM (

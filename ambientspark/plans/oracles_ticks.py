@@ -132,6 +132,12 @@ _CANDS = f"""cands AS MATERIALIZED (SELECT *,
           WHEN (CASE WHEN arousal_trend <> 'stable' THEN arousal_trend ELSE trend END) = 'falling' THEN 'lower' ELSE 'hold' END AS energy_action
         FROM (SELECT *, {_REASON} AS reason, {band('valence')} AS vband, {band('arousal')} AS aband FROM states) s
         LEFT JOIN rulebook r USING (bucket, vband, aband))))"""
+_NEAR = """near AS MATERIALIZED (SELECT c.frame_id, o, i, n.pool[i] AS g FROM cands c
+            JOIN (VALUES (0, 0, 1), (1, 0, -1), (2, 1, 0), (3, -1, 0)) d(o, dv, da) ON c.reason IS NULL
+            JOIN rulebook n ON n.bucket = c.bucket
+              AND list_position(['low', 'mid', 'high'], n.vband) = list_position(['low', 'mid', 'high'], c.vband) + dv
+              AND list_position(['low', 'mid', 'high'], n.aband) = list_position(['low', 'mid', 'high'], c.aband) + da
+            JOIN range(1, 3) r(i) ON i <= len(n.pool) WHERE NOT list_contains(c.pool, n.pool[i]))"""
 _REC_OUT = """frame_id, energy_action, round(target_valence, 6) AS target_valence, round(target_arousal, 6) AS target_arousal,
     CASE WHEN reason IS NULL THEN array_to_string(pool, ' / ') ELSE '' END AS pool, round(confidence, 6) AS confidence, summary, cell, 0.25e0 AS valence_high"""
 
@@ -264,10 +270,5 @@ ORACLES = {
         keep_cte("k", "src", "(s.t - e.k_t >= 30 AND s.sig <> e.k_sig)", ["t", "sig"])),
     "adjacent_pool": with_views("frames rulebook", """SELECT c.frame_id, coalesce(array_to_string(list_transform(list_sort(list({'o': o, 'i': i, 'g': g})), lambda x: x.g), ' / '), '') AS pool
         FROM cands c LEFT JOIN (SELECT frame_id, g, min(o) AS o, min_by(i, o) AS i FROM near GROUP BY ALL) USING (frame_id) GROUP BY c.frame_id""", _STATES, _CANDS,
-        """near AS MATERIALIZED (SELECT c.frame_id, o, i, n.pool[i] AS g FROM cands c
-            JOIN (VALUES (0, 0, 1), (1, 0, -1), (2, 1, 0), (3, -1, 0)) d(o, dv, da) ON c.reason IS NULL
-            JOIN rulebook n ON n.bucket = c.bucket
-              AND list_position(['low', 'mid', 'high'], n.vband) = list_position(['low', 'mid', 'high'], c.vband) + dv
-              AND list_position(['low', 'mid', 'high'], n.aband) = list_position(['low', 'mid', 'high'], c.aband) + da
-            JOIN range(1, 3) r(i) ON i <= len(n.pool) WHERE NOT list_contains(c.pool, n.pool[i]))"""),
+        _NEAR),
 }
