@@ -1,5 +1,5 @@
 """All DuckDB statements, by query name."""
 
-from ambientspark.plans import oracles_labels, oracles_rooms, oracles_ticks
+from ambientspark.plans import oracles_labels, oracles_rooms, oracles_streams, oracles_ticks
 
-ORACLES = {**oracles_labels.ORACLES, **oracles_ticks.ORACLES, **oracles_rooms.ORACLES}
+ORACLES = {**oracles_labels.ORACLES, **oracles_ticks.ORACLES, **oracles_rooms.ORACLES, **oracles_streams.ORACLES}
