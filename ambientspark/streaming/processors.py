@@ -2,9 +2,9 @@
 
 Every step is step(state, row) -> (state, [output rows]); the same functions serve the batch
 `scan` and, through `RoomFold`, Structured Streaming. State is kept per room in the RocksDB
-store as JSON; within a micro-batch rows are taken in event-time order, and rows older than
-what a room has already seen are counted and left out (the engine this serves has no
-retractions).
+store as JSON; within a micro-batch rows are taken in event-time order. Rows older than what a room
+has already seen do not change what was emitted (there are no retractions): they are counted and, on request, come out
+marked as late.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class RoomFold(StatefulProcessor):
     """Folds each room's rows through a step function; state survives restarts and executor loss."""
 
-    def __init__(self, step: Callable, order: tuple[str, ...], columns: list[str]):
-        self.step, self.order, self.columns = step, list(order), columns
+    def __init__(self, step: Callable, order: tuple[str, ...], columns: list[str], late: bool = False):
+        self.step, self.order, self.columns, self.late = step, list(order), columns, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", StructType([StructField("json", StringType())]))
@@ -41,10 +41,12 @@ class RoomFold(StatefulProcessor):
             at = row[self.order[0]]
             if held["seen"] is not None and at < held["seen"]:
                 held["late"] += 1
+                if self.late:
+                    out.append({c: row.get(c) for c in self.columns} | {"late": True})
                 continue
             held["seen"] = at
             held["s"], made = self.step(held["s"], row)
-            out += made
+            out += [r | {"late": False} for r in made] if self.late else made
         self.state.update((json.dumps(held),))
         if out:
             yield pd.DataFrame(out, columns=self.columns)
@@ -54,11 +56,14 @@ class RoomFold(StatefulProcessor):
 
 
 def fold_stream(df: DataFrame, step: Callable, schema: str, keys: tuple[str, ...] = ("room_id",),
-                order: tuple[str, ...] = ("t", "frame_id")) -> DataFrame:
-    """Run a step function over a stream (or, unchanged, over a batch) keyed by room."""
-    out = StructType.fromDDL(schema)
+                order: tuple[str, ...] = ("t", "frame_id"), late: bool = False) -> DataFrame:
+    """Run a step function over a stream keyed by room.
+
+    With `late`, the result has a column of that name: rows older than what their room has seen come out with it set
+    and the input columns that the result has, for a side output to take; without, they are only counted."""
+    out = StructType.fromDDL(f"{schema}, late boolean" if late else schema)
     return df.groupBy(*keys).transformWithStateInPandas(
-        RoomFold(step, order, out.names), outputStructType=out, outputMode="Append", timeMode="None")
+        RoomFold(step, order, out.names, late), outputStructType=out, outputMode="Append", timeMode="None")
 
 
 # --- steps -----------------------------------------------------------------------

@@ -57,6 +57,23 @@ def test_emitters_stream_equals_batch(spark, ticks, tmp_path):
     assert keyed(got, "sig") == keyed(chains.emit_on_change(ticks, ROOM, ORDER, 30.0, F.col("sig"), 30.0), "sig")
 
 
+def test_late_rows_come_out_marked(spark, tmp_path):
+    src = str(tmp_path / "src")
+    schema = "room_id long, frame_id long, t double, candidate long"
+    (tmp_path / "src").mkdir()
+    live = spark.readStream.schema(schema).parquet(src)
+    query = (P.fold_stream(live, P.hysteresis_step, P.HYSTERESIS, late=True).writeStream.foreachBatch(streams.append_once(str(tmp_path / "out")))
+             .option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start())
+    try:
+        for rows in ([(1, 1, 10.0, 5), (1, 2, 20.0, 5)], [(1, 3, 15.0, 6), (1, 4, 25.0, 5)]):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            query.processAllAvailable()
+    finally:
+        query.stop()
+    got = {(r["frame_id"], r["published"], r["late"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 5, False), (2, 5, False), (3, None, True), (4, 5, False)}
+
+
 def test_steps_on_golden_sequences():
     state, flags = None, []
     for floor in (-44.0, None):
