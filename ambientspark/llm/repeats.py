@@ -1,14 +1,17 @@
-"""Repeated byte strings across documents: sampled suffixes, sorted externally, from which all other places are induced."""
+"""Repeated byte strings across documents: sampled suffixes are sorted externally, and the order of all others near them is induced."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ambientspark.llm.common import as_bytes, staged
+from ambientspark.llm.induced import repeated_starts
 
 #: Length of the strings that may not repeat.
 LENGTH = 100
@@ -16,8 +19,8 @@ LENGTH = 100
 SEED_BYTES = 36
 #: Places handled at once inside a long text.
 BLOCK = 1 << 18
-#: The windows of a group of contexts are compared in memory up to so many contexts; those of larger groups are rows that Spark sorts.
-GROUP = 20_000
+#: Starts that a task gathers before it gives them out as runs.
+FOUND_ROWS = 200_000
 NO_ID = -(1 << 63)
 
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -161,75 +164,75 @@ def _told_apart(tuples: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """For each open suffix up to two contexts, keyed by bytes that all their strings hold: doc, first, bytes.
+    """For each open suffix up to two suffix tuples, keyed by bytes that all their strings hold: key, doc, anchor, left, right.
 
-    Strings that begin at most `half` bytes before the seed all hold the bytes from the seed on that the first of them reaches;
-    the others hold those from half + 1 before the seed to its end.
+    Strings that begin at most `half` bytes before the seed are anchored at the seed and all hold the bytes that the first of them
+    reaches; the others are anchored half + 1 bytes before it and hold the bytes from there to the seed's end.
     """
     width = LENGTH - SEED_BYTES + 1
     half = width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, firsts, bytes_ = [], [], [], []
+            out = []
             for doc, text, found in zip(batch.column("doc").to_pylist(), as_bytes(batch.column("text")), batch.column("places").to_pylist(), strict=True):
                 for place in found:
                     first, n, offset = place >> 16, place >> 8 & 255, place & 255
                     seed, end = first + offset, first + n
-                    for low, high, core in ((max(first, seed - half), end, text[seed : seed - half + LENGTH]), (first, min(end, seed - half), text[seed - half - 1 : seed + SEED_BYTES])):
+                    for low, high, anchor, reach in ((max(first, seed - half), end, seed, LENGTH - half), (first, min(end, seed - half), seed - half - 1, half + 1 + SEED_BYTES)):
                         if low < high:
-                            keys.append(core)
-                            docs.append(doc)
-                            firsts.append(low)
-                            bytes_.append(text[low : high - 1 + LENGTH])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(firsts, pa.int64()), pa.array(bytes_, pa.binary())],
-                                             names=["core", "doc", "first", "bytes"])
+                            out.append((text[anchor : anchor + reach], doc, anchor, text[low:anchor], text[anchor : high - 1 + LENGTH]))
+            core, docs, anchors, lefts, rights = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.binary()), pa.array(docs, pa.int64()), pa.array(anchors, pa.int64()), pa.array(lefts, pa.binary()),
+                                              pa.array(rights, pa.binary())], names=["core", "doc", "anchor", "left", "right"])
 
     lists = places.groupBy("doc").agg(F.collect_list("place").alias("places"))  # bounded by one text
-    return texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "text", "places").mapInArrow(run, "core binary, doc long, first long, bytes binary").select(
-        F.xxhash64("core", F.octet_length("core")).alias("key"), "doc", "first", "bytes")
-
+    found = texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "text", "places").mapInArrow(run, "core binary, doc long, anchor long, left binary, right binary")
+    return found.select(F.xxhash64("core", F.octet_length("core")).alias("key"), "doc", "anchor", "left", "right")
+
+
+def _runs(starts: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Documents and packed runs (at most 255 starts) of (doc, start)."""
+    docs, places, n = [], [], 0
+    for k, (doc, start) in enumerate(starts):
+        if k and starts[k - 1] == (doc, start):
+            continue
+        if k and n < 255 and starts[k - 1] == (doc, start - 1):
+            n += 1
+            places[-1] += 1 << 8
+        else:
+            docs.append(doc)
+            places.append(start << 16 | 1 << 8)
+            n = 1
+    return docs, places
+
+
+def _repeated_strings(contexts: DataFrame) -> DataFrame:
+    """doc, place of the runs of starts whose string also stands earlier, from suffix tuples of the same key.
+
+    Tuples meet by key in order of the bytes from their anchor; Spark sorts them, on disk where they are many. Each key's are induced
+    leftward (`induced.repeated_starts`), again on disk where they are many. Keys with one tuple are left out before the text is sorted.
+    """
+    sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = contexts.join(sizes, "key").repartition("key").sortWithinPartitions("key", "right", "doc", "anchor")
 
-def _runs(starts: list[int]) -> list[int]:
-    """Sorted starts as packed runs of at most 255."""
-    out, low = [], 0
-    for k in range(1, len(starts) + 1):
-        if k == len(starts) or starts[k] != starts[k - 1] + 1 or k - low == 255:
-            out.append(starts[low] << 16 | (k - low) << 8)
-            low = k
-    return out
+    def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "anchor", "left", "right")), strict=True))
+        found: list[tuple[int, int]] = []
+        for _, group in groupby(rows, key=itemgetter(0)):
+            for start in repeated_starts((row[1:] for row in group), LENGTH):
+                found.append(start)
+                if len(found) >= FOUND_ROWS:
+                    yield _batch(found)
+                    found = []
+        yield _batch(found)
 
+    return shared.select("key", "doc", "anchor", "left", "right").mapInArrow(induce, "doc long, place long")
 
-def _repeated_windows(contexts: DataFrame) -> DataFrame:
-    """doc, place of the runs of starts whose string stands earlier in a context of the same key."""
-    sizes = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = contexts.join(sizes, "key")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seen = None, {}
-        for batch in batches:
-            docs, places = [], []
-            for k, doc, first, context in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "first", "bytes")), strict=True):
-                if k != key:
-                    key, seen = k, {}
-                again = []
-                for at in range(len(context) - LENGTH + 1):
-                    here = (doc, first + at)
-                    if seen.setdefault(context[at : at + LENGTH], here) != here:
-                        again.append(first + at)
-                for place in _runs(again):
-                    docs.append(doc)
-                    places.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["doc", "place"])
-
-    small = shared.where(F.col("n") <= GROUP).select("key", "doc", "first", "bytes")
-    few = small.repartition("key").sortWithinPartitions("key", "doc", "first").mapInArrow(compare, "doc long, place long")
-    window = F.expr(f"substring(bytes, at + 1, {LENGTH})")
-    large = shared.where(F.col("n") > GROUP).select("doc", "first", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)).alias("at"))
-    rows = large.select("doc", (F.col("first") + F.col("at")).alias("start"), F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
-    earliest = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("e"))
-    many = rows.join(earliest, ["w1", "w2"]).where("doc <> e.doc or start <> e.start").select("doc", F.shiftleft("start", 16).bitwiseOR(F.lit(1 << 8)).alias("place"))
-    return few.unionByName(many)
+def _batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    docs, places = _runs(sorted(found))
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["doc", "place"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -241,7 +244,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs)
     told = staged(_told_apart(_tuples(texts)))
     open_ = told.where(~F.col("full")).select("doc", "place").distinct()
-    found = _repeated_windows(staged(_contexts(texts, open_)))
+    found = _repeated_strings(staged(_contexts(texts, open_)))
     return told.where("full").select("doc", "place").unionByName(found)
 
 

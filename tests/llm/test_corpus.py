@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ambientspark.llm import classifier, decontaminate, licenses, packing, personal, quality, queries, repeats, secrets, simhash, warc
+from ambientspark.llm import classifier, decontaminate, induced, licenses, packing, personal, quality, queries, repeats, secrets, simhash, warc
 from ambientspark.llm.graph import connected
 
 SMALL = "/root/testdata/sf0.001"
@@ -219,9 +219,7 @@ def test_neighbours_on_held_out_rows(spark, odd):
     assert {r.score for r in classifier.score(odd, nothing).collect()} == {0.5}
 
 
-@pytest.mark.parametrize("group", [2, repeats.GROUP])
-def test_repeated_bytes(documents, odd, texts, monkeypatch, group):
-    monkeypatch.setattr(repeats, "GROUP", group)
+def test_repeated_bytes(documents, odd, texts):
     docs = both(documents, odd).where("doc_id > 20")
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.without_repeats(docs).collect()}
     seen, want = {}, {}
@@ -236,6 +234,30 @@ def test_repeated_bytes(documents, odd, texts, monkeypatch, group):
     assert got == want and sum(x[1] for x in want.values()) > 0
 
 
+@pytest.mark.parametrize("in_memory", [1, 10**6])
+def test_induced_sorting_finds_equal_strings(in_memory):
+    rng = random.Random(6)
+    for _ in range(60):
+        docs = [bytes(rng.choices(b"ab", k=rng.randint(8, 30))) for _ in range(rng.randint(1, 12))]
+        docs += [d[rng.randint(0, 3) :] for d in docs[:3]]
+        length, tuples = 8, []
+        for doc, text in enumerate(docs):
+            for anchor in range(0, len(text), 5):
+                low = max(0, anchor - rng.randint(0, 6))
+                tuples.append((doc, anchor, text[low:anchor], text[anchor : anchor + length]))
+        tuples.sort(key=lambda x: (x[3], x[0], x[1]))
+        want, first = set(), {}
+        starts = sorted({(doc, anchor - k, anchor) for doc, anchor, left, _ in tuples for k in range(len(left) + 1)})
+        rights = {(d, a): r for d, a, _, r in tuples}
+        for level in range(7):  # strings are compared with those as far left of their anchor
+            first = {}
+            for doc, start, anchor in starts:
+                string = docs[doc][start:anchor] + rights[doc, anchor]
+                if anchor - start == level and len(string) >= length and first.setdefault(string[:length], (doc, start)) != (doc, start):
+                    want.add((doc, start))
+        assert set(induced.repeated_starts(tuples, length, in_memory)) == want
+
+
 def test_repeated_bytes_inside_long_texts(spark, odd):
     rng = random.Random(2)
     line = "".join(rng.choices("abcdefgh ", k=150))
