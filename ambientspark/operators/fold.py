@@ -28,9 +28,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], slab_s: float, zero,
     key_ddl = ", ".join(f"{c} {types[c]}" for c in part)
     start = json.dumps(zero)
 
-    def with_states(states):
+    def with_states(states, of=rows):
         """Slab states travel as the leading row of their slab; slabs without one are left out."""
-        both = (rows.withColumn("_row", F.lit(1))
+        both = (of.withColumn("_row", F.lit(1))
                 .unionByName(states.withColumn("_row", F.lit(0)), allowMissingColumns=True))
         return hashed(both, part, ["_row", *order])
 
@@ -65,7 +65,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], slab_s: float, zero,
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"fold did not settle in {max_rounds} rounds")
         rounds += 1
-        redone = with_states(wrong).mapInArrow(ends, state_ddl)
+        redone = with_states(wrong, rows.join(wrong.select(*part), part, "left_semi")).mapInArrow(ends, state_ddl)
         states = stage(states.join(redone.select(*part, F.col("state_in").alias("_i"), F.col("state_out").alias("_o")),
                               part, "left")
                   .select(*part, F.coalesce("_i", "state_in").alias("state_in"),
