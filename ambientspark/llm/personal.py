@@ -8,7 +8,7 @@ from ambientspark.llm.common import staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Stands for a character that is known to be inside an entity; a text's own is replaced first, so positions stay.
-MARK = ""
+MARK = "\ue000"
 NO_WORD = "\x01"
 #: The base patterns, rewritten without nested repeats so that no text overflows the matcher's stack.
 LOCAL = "A-Za-z0-9._%+" + MARK + "-"

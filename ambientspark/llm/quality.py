@@ -76,12 +76,8 @@ def _covered(windows: Column, size: int) -> Column:
         _let(_let(pairs, in_order), lambda places: F.when(F.size(places) == 0, F.lit(0)).otherwise(total(places))))
 
 
-def metrics(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> DataFrame:
-    """docs with the struct `quality_metrics` beside their own columns. Built-in functions only, no shuffle.
-
-    Words are what ASCII white space separates. Windows of five words are compared by 64-bit hashes of their words' hashes inside
-    one text. A null text has no words and counts of 0; ratios to zero words or lines are null.
-    """
+def metric_struct(text: str = "text", stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> Column:
+    """All metrics of a text in one expression, which evaluates each part once."""
     body = F.coalesce(F.col(text), F.lit(""))
     spaced = body
     for c in SPACES[1:]:
@@ -112,29 +108,47 @@ def metrics(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] | l
             (c["n_upper"] / F.nullif(w["word_chars"], F.lit(0).cast("long"))).alias("upper_char_ratio"),
             (c["l"]["n_dup_lines"] / F.nullif(c["l"]["n_lines"], F.lit(0))).alias("dup_line_ratio"))
 
-    return docs.withColumn("quality_metrics", _let(counted, ratios))
+    return _let(counted, ratios)
+
+
+def metrics(docs: DataFrame, text: str = "text", stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> DataFrame:
+    """docs with the struct `quality_metrics` beside their own columns. Built-in functions only, no shuffle.
+
+    Words are what ASCII white space separates. Windows of five words are compared by 64-bit hashes of their words' hashes inside
+    one text. A null text has no words and counts of 0; ratios to zero words or lines are null.
+    """
+    return docs.withColumn("quality_metrics", metric_struct(text, stop_words))
 
 
-def _outside(rule: Rule) -> Column:
-    value = F.col(f"quality_metrics.{rule.metric}")
+def _outside(rule: Rule, found: Column) -> Column:
+    value = found[rule.metric]
     low = F.lit(False) if rule.least is None else value < rule.least
     high = F.lit(False) if rule.most is None else value > rule.most
     return F.coalesce(low | high, F.lit(False))
 
 
+def _any_outside(rules: tuple[Rule, ...], found: Column) -> Column:
+    failed = F.lit(False)
+    for r in rules:
+        failed = failed | _outside(r, found)
+    return failed
+
+
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
     """docs with quality_metrics, base_failed, kept and failed_rules (names, in the tables' order).
 
     Every row stays, repeated ones too; a document is kept if it fails no rule of either table.
     """
     scored = metrics(docs, text)
-    failed = F.filter(F.array(*[F.when(_outside(r), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
-    base_failed = F.lit(False)
-    for r in base:
-        base_failed = base_failed | _outside(r)
-    return scored.select("*", base_failed.alias("base_failed"), failed.alias("failed_rules")).withColumn("kept", F.size("failed_rules") == 0)
+    found = F.col("quality_metrics")
+    failed = F.filter(F.array(*[F.when(_outside(r, found), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
+    return scored.select("*", _any_outside(base, found).alias("base_failed"), failed.alias("failed_rules")).withColumn("kept", F.size("failed_rules") == 0)
 
 
-def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs that fail no rule, with the columns of docs."""
-    return judged(docs, rules, text=text).where("kept").select(*docs.columns)
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
+    """The rows of docs that fail no rule of either table, with the columns of docs.
+
+    The condition is one expression over one struct: a filter on the columns of `judged` would be pushed below them and
+    evaluate the metrics once for each rule.
+    """
+    return docs.where(_let(metric_struct(text), lambda found: ~_any_outside((*base, *rules), found)))
