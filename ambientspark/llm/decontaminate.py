@@ -19,7 +19,10 @@ EDIT_RATE = 0.1
 #: Share of such windows that the sampled positions find.
 RECALL = 0.99
 SAMPLED = 4
-#: Share of embedded positions taken to differ at the edit rate.
+#: Items of more words are not embedded: the share of differing positions grows with the edits. One of their pieces must stand unchanged.
+EMBEDDED_WORDS = 60
+PIECE_WORDS = 10
+#: Share of embedded positions taken to differ at the edit rate, for items up to EMBEDDED_WORDS.
 DIFFERING = 0.35
 #: Benchmark text handled in one pass over the documents, in bytes; more is dealt into several passes.
 PASS_BYTES = 32 << 20
@@ -97,9 +100,31 @@ def best_end(item: list[int], window: list[int], limit: int) -> tuple[int, int]
     return (edits, taken) if edits <= limit else None
 
 
+def start_edits(item: list[int], window: np.ndarray) -> np.ndarray:
+    """For each place in window, the edits that its nearest window from there needs to be the item."""
+    back = window[::-1]
+    at = np.arange(len(back) + 1)
+    row = np.zeros(len(back) + 1, dtype=np.int64)
+    for i, word in enumerate(reversed(item), 1):
+        new = row + 1
+        np.minimum(new[1:], row[:-1] + (back != word), out=new[1:])
+        new[0] = i
+        row = np.minimum.accumulate(new - at) + at
+    return row[:0:-1]
+
+
+def run_keys(ids: np.ndarray, size: int) -> np.ndarray:
+    """One 64-bit key for each run of `size` word ids."""
+    ids, keys = ids.astype(np.uint64), np.zeros(max(0, len(ids) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        keys = (keys ^ ids[k : k + len(keys)]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
 @dataclass
 class Items:
-    """Benchmark items as word ids, and their keys for every repetition."""
+    """Benchmark items as word ids, their keys for every repetition, and the pieces of long ones."""
 
     rate: float
     vocabulary: dict[bytes, int] = field(default_factory=dict)
@@ -109,28 +134,45 @@ class Items:
     #: marks of the pairs of neighbouring words, and the fewest different ones of an item of each length
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(PAIR_SLOTS, dtype=bool))
     least_pairs: dict[int, int] = field(default_factory=dict)
+    #: by length of the pieces: their keys in order, and the item and offset of each
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple[int, bytes]], rate: float, recall: float) -> Items:
         out = cls(rate)
+        short, pieces = [], {}
         for item_id, text in rows:
             ids = [out.vocabulary.setdefault(w, len(out.vocabulary) + 1) for w in words_of(text)]
-            if ids:
-                out.items.append((item_id, ids))
-                out.longest = max(out.longest, len(ids))
-                different = np.unique(out.slots(np.array(ids, dtype=np.int64)))
-                out.pairs[different] = True
-                out.least_pairs[len(ids)] = min(len(different), out.least_pairs.get(len(ids), len(ids)))
-        if out.items:
-            matrix = np.full((len(out.items), out.longest), -1, dtype=np.int64)
-            for k, (_, ids) in enumerate(out.items):
-                matrix[k, : len(ids)] = ids
-            lengths = np.array([len(ids) for _, ids in out.items])
+            if not ids:
+                continue
+            out.items.append((item_id, ids))
+            number, n = edit_limit(len(ids), rate) + 1, len(ids)
+            if n > EMBEDDED_WORDS and number <= n:
+                for k in range(number):
+                    first, last = n * k // number, n * (k + 1) // number
+                    size = min(last - first, PIECE_WORDS)
+                    key = run_keys(np.array(ids[first : first + size]), size)[0]
+                    pieces.setdefault(size, []).append((key, len(out.items) - 1, first))
+                continue
+            short.append(len(out.items) - 1)
+            out.longest = max(out.longest, n)
+            different = np.unique(out.slots(np.array(ids, dtype=np.int64)))
+            out.pairs[different] = True
+            out.least_pairs[n] = min(len(different), out.least_pairs.get(n, n))
+        for size, found in pieces.items():
+            keys, numbers, offsets = (np.array(x) for x in zip(*found, strict=True))
+            order = np.argsort(keys, kind="stable")
+            out.pieces[size] = keys[order], numbers[order], offsets[order]
+        if short:
+            matrix = np.full((len(short), out.longest), -1, dtype=np.int64)
+            for row, k in enumerate(short):
+                matrix[row, : len(out.items[k][1])] = out.items[k][1]
+            lengths = np.array([len(out.items[k][1]) for k in short])
             for r in range(repetitions(recall)):
                 walk = Walk(out.longest, r)
                 keys = walk.keys(matrix, lengths)
                 order = np.argsort(keys, kind="stable")
-                out.tables.append((walk, keys[order], order))
+                out.tables.append((walk, keys[order], np.array(short)[order]))
         return out
 
     def slots(self, ids: np.ndarray) -> np.ndarray:
@@ -177,6 +219,7 @@ class Items:
         ids = np.concatenate([x for run in runs for x in (run, gap)])
         ends = np.cumsum([len(run) + 1 for run in runs]) - 1
         begins = ends - [len(run) for run in runs]
+        self._search_pieces(ids, begins, ends, found)
         starts, texts, lengths = [], [], []
         for n, places in self.starts(ids).items():
             text = np.searchsorted(ends, places, "right")
@@ -193,6 +236,40 @@ class Items:
             part = slice(at, at + WINDOWS)
             self._compare(ids, start[part], text[part], length[part], begins, ends, found)
 
+    def _search_pieces(self, ids, begins, ends, found) -> None:
+        """Long items: with no more edits than allowed, one piece stands unchanged and moves by that many words at most."""
+        near: dict[tuple[int, int], list[int]] = {}
+        for size, (keys, numbers, offsets) in self.pieces.items():
+            own = run_keys(ids, size)
+            low, high = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            for at in np.nonzero(high > low)[0].tolist():
+                text = int(np.searchsorted(ends, at, "right"))
+                for k in range(low[at], high[at]):
+                    near.setdefault((text, int(numbers[k])), []).append(at - int(offsets[k]))
+        for (text, number), places in near.items():
+            wanted, begin, end = self.items[number][1], int(begins[text]), int(ends[text])
+            limit, reach, spans = edit_limit(len(wanted), self.rate), -1, []
+            for place in sorted(set(places)):
+                low, high = max(begin, place - limit), min(place + limit, end - 1) + 1
+                if low <= reach:
+                    spans[-1][1] = reach = max(reach, high)
+                elif low < high:
+                    spans.append([low, high])
+                    reach = high
+            starts = []
+            for low, high in spans:
+                edits = start_edits(wanted, ids[low : min(high + len(wanted) + limit, end)])[: high - low]
+                starts += [(int(edits[i]), low + int(i)) for i in np.nonzero(edits <= limit)[0]]
+            taken: list[tuple[int, int]] = []
+            for edits, start in sorted(starts):  # as _settled orders them
+                if any(a <= start <= b for a, b in taken):
+                    continue
+                got = best_end(wanted, ids[start : min(start + len(wanted) + limit, end)].tolist(), limit)
+                last = start + max(got[1], 1) - 1
+                if all(last < a or b < start for a, b in taken):
+                    taken.append((start, last))
+                    found[text].setdefault(number, []).append((edits, start - begin, last - begin))
+
     def _compare(self, ids, start, text, length, begins, ends, found) -> None:
         ahead = np.arange(self.longest)
         inside = (ahead < length[:, None]) & (start[:, None] + ahead < ends[text][:, None])
@@ -235,8 +312,9 @@ def leak_spans(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, r
     """docs with an array column of (item_id, first_word, last_word, edits), words from 0; no shuffle.
 
     An item leaks where a window of a document is within `rate` of its words by edit distance; of overlapping finds of one item
-    the nearest counts. Windows of every item's length are embedded, sampled positions find the candidates, with the stated recall for
-    edited windows and certainty for exact ones, and the edit distance decides. Items without words match nothing; a
+    the nearest counts. Windows of the length of every item up to EMBEDDED_WORDS are embedded, sampled positions find the candidates, with the
+    stated recall for edited windows and certainty for exact ones; longer items are found by the piece that must stand unchanged, all of
+    them. The edit distance decides. Items without words match nothing; a
     null or empty text has no leaks. All rows and columns of docs stay.
     """
     out = docs.withColumn(column, F.expr(f"cast(array() as array<{SPAN}>)"))
