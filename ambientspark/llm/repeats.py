@@ -21,7 +21,6 @@ SEED_BYTES = 36
 BLOCK = 1 << 18
 #: Starts that a task gathers before it gives them out as runs.
 FOUND_ROWS = 200_000
-NO_ID = -(1 << 63)
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _RNG = np.random.default_rng(20_240_603)
@@ -91,7 +90,9 @@ def packed(first: np.ndarray, starts: np.ndarray, offset: np.ndarray | int = 0)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc (a number of the row, in order of doc_id, null first, then of place in the table), doc_id, text; stored, so that the numbers stay."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("nth"))
+    return staged(rows.orderBy(F.col("doc_id").asc_nulls_first(), "nth").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"))
 
 
 TUPLE = "full boolean, seed long, context int, doc long, place long"
@@ -235,13 +236,11 @@ def _batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], names=["doc", "place"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc (id; the smallest long stands for null), place: runs of starts whose LENGTH bytes also start earlier; see `packed`.
+def repeats(texts: DataFrame) -> DataFrame:
+    """doc, place: runs of starts whose LENGTH bytes also start earlier; see `packed`. texts has doc (one number for each row) and text.
 
-    Earlier: in a document of smaller id (null the smallest), or at a smaller start of the same. Rows that share an id are one document for
-    this: a string at the same start of two of them is not earlier in either.
+    Earlier: in a row of smaller number, or at a smaller start of the same.
     """
-    texts = _keyed(docs)
     told = staged(_told_apart(_tuples(texts)))
     open_ = told.where(~F.col("full")).select("doc", "place").distinct()
     found = _repeated_strings(staged(_contexts(texts, open_)))
@@ -252,10 +251,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left).
 
     Removes each byte of a text (UTF-8; null is empty) that a string of LENGTH bytes covers which also starts earlier, judged on the input. Texts shorter than LENGTH,
-    empty tables and texts without repeats stay as they are; repeated rows and null ids are kept as rows.
+    empty tables and texts without repeats stay as they are. Every row is a text of its own: rows with a null or the same id come in the order of their
+    places in the table, null ids before all others.
     """
-    lists = repeats(docs).groupBy("doc").agg(F.collect_list("place").alias("places"))  # bounded by one text
-    joined = _keyed(docs).join(lists.hint("shuffle_hash"), "doc", "left").select("doc", "text", "places")
+    texts = _keyed(docs)
+    lists = repeats(texts).groupBy("doc").agg(F.collect_list("place").alias("places"))  # bounded by one text
+    joined = texts.join(lists.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +274,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 out.append((len(text), int((high - low).sum()), len(low), b"".join(text[a:b] for a, b in zip(*map(np.ndarray.tolist, cuts), strict=True))))
             n, removed, spans, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+                [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, spans)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = joined.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return done.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
