@@ -97,8 +97,12 @@ def fuzzy_spans(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[i
             until = high
         windows.append((begin, until))
         for low, high in windows:
-            for m in patterns[k].finditer(text, low, min(high, len(text))):
-                found.append((m.start(), m.end(), sum(m.fuzzy_counts), k))
+            parts = [(low, min(high, len(text)))]
+            while parts:  # the best match, then what lies before and after it
+                low, high = parts.pop()
+                if (m := patterns[k].search(text, low, high)) and m.end() > m.start():
+                    found.append((m.start(), m.end(), sum(m.fuzzy_counts), k))
+                    parts += [(low, m.start()), (m.end(), high)]
     found.sort(key=lambda x: (x[2] / len(known[x[3]].text), x[0] - x[1], x[0], x[3]))
     kept: list[tuple[int, int, int, int]] = []
     for x in found:
