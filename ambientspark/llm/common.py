@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -55,3 +57,14 @@ def per_batch(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column."""
     return column.cast(pa.binary()).to_pylist()
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about `most` bytes of a text column, so that what a task makes of a part stays small; a longer text is a part of its own."""
+    offsets = np.asarray(pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(column)).cast(pa.int64()), 0)))
+    at = 0
+    while at < batch.num_rows:
+        before = int(offsets[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(offsets, before + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end

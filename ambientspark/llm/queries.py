@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ambientspark.llm import classifier, decontaminate, licenses, oracles, packing, personal, quality, repeats, secrets, simhash, warc
+from ambientspark.llm import alignment, classifier, decontaminate, licenses, oracles, packing, periods, personal, quality, repeats, secrets, simhash, warc
 from ambientspark.llm.common import read_table
 
 
@@ -76,7 +76,17 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digest(periods.periodic_runs(periods.with_made_periods(read_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_personal_data, op5_revisits, op6_quality_neighbours,
-    op7_repeated_bytes, op8_secret_ownership, op9_simhash_anchors, op10_benchmark_leaks)}
+    op7_repeated_bytes, op8_secret_ownership, op9_simhash_anchors, op10_benchmark_leaks, op12_token_alignment, op13_periodic_runs)}
 ORACLES = {"op1_quality_rules": oracles.QUALITY, "op5_revisits": oracles.REVISITS}
