@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ambientspark.llm import alignment, classifier, decontaminate, licenses, oracles, packing, periods, personal, quality, repeats, secrets, simhash, warc
+from ambientspark.llm import alignment, classifier, decontaminate, licenses, oracles, packing, periods, personal, quality, repeats, secrets, simhash, toxicity, warc
 from ambientspark.llm.common import read_table
 
 
@@ -76,6 +76,11 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_toxicity_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,5 +93,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_license_scan, op3_best_fit_packing, op4_personal_data, op5_revisits, op6_quality_neighbours,
-    op7_repeated_bytes, op8_secret_ownership, op9_simhash_anchors, op10_benchmark_leaks, op12_token_alignment, op13_periodic_runs)}
+    op7_repeated_bytes, op8_secret_ownership, op9_simhash_anchors, op10_benchmark_leaks, op11_toxicity_distance, op12_token_alignment,
+    op13_periodic_runs)}
 ORACLES = {"op1_quality_rules": oracles.QUALITY, "op5_revisits": oracles.REVISITS}
