@@ -148,32 +148,38 @@ def buffer_stats(evidence: DataFrame, buffer: list[str], threshold: float = C.CL
         import numpy as np
         import pandas as pd
         pdf = pdf.sort_values(list(order), kind="stable")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        label = average_linkage(1.0 - np.clip(x @ x.T, -1.0, 1.0), threshold)
-        seconds, n = pdf["duration_s"].to_numpy(float), len(x)
-        size, total = np.bincount(label), seconds.sum()
-        mass = np.bincount(label, weights=seconds)
-        heavy = ((size >= min_segments) | (mass >= min_s)) & (mass >= min_frac * total)
-        sums = np.zeros((len(size), x.shape[1]))
-        np.add.at(sums, label, x)
-        own, dots = np.einsum("ij,ij->i", x, x), x @ sums.T
-        with np.errstate(divide="ignore", invalid="ignore"):
-            inside = 1.0 - (dots[np.arange(n), label] - own) / (size[label] - 1)
-        away = 1.0 - dots / size
-        away[np.arange(n), label] = np.inf
-        near = away.min(axis=1)
-        top = np.maximum(inside, near)
-        told = (size[label] > 1) & np.isfinite(near) & (top > 0)
-        separation = float(((near - inside)[told] / top[told]).mean()) if n >= 3 and told.any() else 0.0
-        many = size >= 2
-        spread = size * (size - 1.0) - (np.einsum("ij,ij->i", sums, sums) - np.bincount(label, weights=own))
-        dispersion_ = float((spread[many] / (size[many] - 1)).sum() / size[many].sum()) if many.any() else 0.0
-        stray = int(n - size[heavy].sum())
-        return pd.DataFrame([[*(pdf[f.name].iloc[0] for f in fields), n, total, len(size), max(int(heavy.sum()), 1), stray, stray / n, separation, dispersion_]], columns=schema.names)
+        found = buffer_numbers(np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["duration_s"].to_numpy(float), threshold, min_segments, min_s, min_frac)
+        return pd.DataFrame([[*(pdf[f.name].iloc[0] for f in fields), *found]], columns=schema.names)
 
     return evidence.select(*buffer, *order, "duration_s", "embedding").groupBy(*buffer).applyInPandas(stats, schema)
 
 
+def buffer_numbers(x, seconds, threshold: float = C.CLUSTER_THRESHOLD, min_segments: int = C.MIN_CLUSTER_SEGMENTS,
+                   min_s: float = C.MIN_CLUSTER_S, min_frac: float = C.MIN_CLUSTER_FRAC) -> tuple:
+    """(segments, evidence_s, clusters, raw_clusters, stray_segments, fragmentation, separation, dispersion) of one buffer: unit vectors in order and their seconds."""
+    import numpy as np
+    label = average_linkage(1.0 - np.clip(x @ x.T, -1.0, 1.0), threshold)
+    n, size, total = len(x), np.bincount(label), seconds.sum()
+    mass = np.bincount(label, weights=seconds)
+    heavy = ((size >= min_segments) | (mass >= min_s)) & (mass >= min_frac * total)
+    sums = np.zeros((len(size), x.shape[1]))
+    np.add.at(sums, label, x)
+    own, dots = np.einsum("ij,ij->i", x, x), x @ sums.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inside = 1.0 - (dots[np.arange(n), label] - own) / (size[label] - 1)
+    away = 1.0 - dots / size
+    away[np.arange(n), label] = np.inf
+    near = away.min(axis=1)
+    top = np.maximum(inside, near)
+    told = (size[label] > 1) & np.isfinite(near) & (top > 0)
+    separation = float(((near - inside)[told] / top[told]).mean()) if n >= 3 and told.any() else 0.0
+    many = size >= 2
+    spread = size * (size - 1.0) - (np.einsum("ij,ij->i", sums, sums) - np.bincount(label, weights=own))
+    dispersion_ = float((spread[many] / (size[many] - 1)).sum() / size[many].sum()) if many.any() else 0.0
+    stray = int(n - size[heavy].sum())
+    return n, float(total), len(size), max(int(heavy.sum()), 1), stray, stray / n, separation, dispersion_
+
+
 def headcount_estimate(ticks: DataFrame, evidence: DataFrame, slab_s: float, horizon_s: float = C.BUFFER_S,
                        cap: int = C.BUFFER_CAP) -> DataFrame:
     """Occupancy estimate per certified tick from its rolling evidence; ticks without evidence yield no row."""
