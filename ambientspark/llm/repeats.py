@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import groupby
 from operator import itemgetter
 
@@ -56,11 +57,11 @@ class _Hashes:
 
 
 def sampled(text: np.ndarray, length: int = LENGTH, seed: int = SEED_BYTES) -> tuple[np.ndarray, ...]:
-    """The sampled suffixes of a text: (first start, starts, offset, seed hash, context hash).
+    """The sampled suffixes of a text: (first start, starts, offset, seed hash).
 
     A string of `length` bytes holds length - seed + 1 seeds; the one with the least hash, the first of equals, is sampled.
     Strings that start one after another mostly share it: `starts` of them from `first start`, `offset` bytes before the
-    seed. Equal strings sample the same place in them. The context is all that these strings cover.
+    seed. Equal strings sample the same place in them.
     """
     out, total = [], len(text) - length + 1
     width = length - seed + 1
@@ -79,9 +80,18 @@ def sampled(text: np.ndarray, length: int = LENGTH, seed: int = SEED_BYTES) -> t
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         n = np.diff(np.append(first, len(place)))
         offset = place[first] - first
-        context = hashes(first, first + n - 1 + length) ^ _mixed(offset.astype(np.uint64) + np.uint64(1))
-        out.append((first + at, n, offset, seeds[place[first]], context))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(3)) + tuple(np.zeros(0, np.uint64) for _ in range(2))
+        out.append((first + at, n, offset, seeds[place[first]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
+
+
+def contexts(text: bytes, first: np.ndarray, n: np.ndarray, offset: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Of each sampled suffix, 128 bits of a cryptographic hash of all bytes its strings cover and of the offset.
+
+    Contexts are taken as equal if these bits are. Among the 3 * 10 ** 12 contexts of 100 TB, two different ones agree anywhere with a probability below 10 ** -13.
+    """
+    raw = [blake2b(text[a:b], digest_size=16, salt=bytes([o])).digest()
+           for a, b, o in zip(first.tolist(), (first + n - 1 + length).tolist(), offset.tolist(), strict=True)]
+    return np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
 
 
 def packed(first: np.ndarray, starts: np.ndarray, offset: np.ndarray | int = 0) -> np.ndarray:
@@ -95,7 +105,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return staged(rows.orderBy(F.col("doc_id").asc_nulls_first(), "nth").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"))
 
 
-TUPLE = "full boolean, seed long, context int, doc long, place long"
+TUPLE = "full boolean, seed long, high long, low long, doc long, place long"
 
 
 def _tuples(texts: DataFrame) -> DataFrame:
@@ -106,18 +116,20 @@ def _tuples(texts: DataFrame) -> DataFrame:
             ids, parts = batch.column("doc").to_numpy(), []
             for doc, text in zip(ids, as_bytes(batch.column("text")), strict=True):
                 if len(text) >= LENGTH:
-                    first, n, offset, seed, context = sampled(np.frombuffer(text, np.uint8))
-                    parts.append((seed.view(np.int64), context.astype(np.uint32).view(np.int32), np.full(len(first), doc), packed(first, n, offset)))
+                    first, n, offset, seed = sampled(np.frombuffer(text, np.uint8))
+                    context = contexts(text, first, n, offset)
+                    parts.append((seed.view(np.int64), context[:, 0], context[:, 1], np.full(len(first), doc), packed(first, n, offset)))
             if not parts:
                 continue
-            seed, context, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((place, doc, context, seed))
-            seed, context, doc, place = seed[order], context[order], doc[order], place[order]
-            head = np.concatenate([[True], (seed[1:] != seed[:-1]) | (context[1:] != context[:-1])])
+            seed, high, low, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, doc, low, high, seed))
+            seed, high, low, doc, place = (x[order] for x in (seed, high, low, doc, place))
+            head = np.concatenate([[True], (seed[1:] != seed[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
             lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
             full = (doc != doc[lead]) | (place != place[lead])
             seed = np.where(full, _mixed(doc.view(np.uint64) + place.view(np.uint64)).view(np.int64), seed)  # these go anywhere
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, seed, context, doc, place)], names=["full", "seed", "context", "doc", "place"])
+            high, low = (np.where(full, 0, x) for x in (high, low))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, seed, high, low, doc, place)], names=["full", "seed", "high", "low", "doc", "place"])
 
     return texts.mapInArrow(run, TUPLE)
 
@@ -132,18 +144,18 @@ def _told_apart(tuples: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, several = None, False
         for batch in batches:
-            full, seed, context, doc, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            full, seed, high, low, doc, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             done = full.astype(bool)
             if done.any():
                 yield pa.RecordBatch.from_arrays([pa.array(doc[done]), pa.array(place[done]), pa.array(done[done])], names=["doc", "place", "full"])
-                seed, context, doc, place = (x[~done] for x in (seed, context, doc, place))
+                seed, high, low, doc, place = (x[~done] for x in (seed, high, low, doc, place))
             if not len(seed):
                 continue
             carried = last is not None
             if carried:
-                seed, context, doc, place = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (seed, context, doc, place), strict=True))
+                seed, high, low, doc, place = (np.concatenate([[x], y]).astype(y.dtype) for x, y in zip(last, (seed, high, low, doc, place), strict=True))
             new_seed = np.concatenate([[True], seed[1:] != seed[:-1]])
-            head = new_seed | np.concatenate([[True], context[1:] != context[:-1]])
+            head = new_seed | np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
             lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
             same = ~head & ((doc != doc[lead]) | (place != place[lead]))
             group = np.cumsum(new_seed) - 1
@@ -158,9 +170,9 @@ def _told_apart(tuples: DataFrame) -> DataFrame:
             told = same | open_
             yield pa.RecordBatch.from_arrays([pa.array(doc[told]), pa.array(place[told]), pa.array(same[told])], names=["doc", "place", "full"])
             k = lead[-1]
-            last, several = (seed[k], context[k], doc[k], place[k]), bool(differs[-1])
+            last, several = (seed[k], high[k], low[k], doc[k], place[k]), bool(differs[-1])
 
-    sorted_ = tuples.repartition("seed").sortWithinPartitions("full", "seed", "context", "doc", "place")
+    sorted_ = tuples.repartition("seed").sortWithinPartitions("full", "seed", "high", "low", "doc", "place")
     return sorted_.mapInArrow(run, "doc long, place long, full boolean")
 
 
