@@ -157,12 +157,10 @@ def _speaking_strings(sample: DataFrame, sizes: dict[int, int]) -> dict[bytes, f
 
 def _speaking_words(sample: DataFrame, spoken: dict[bytes, float]) -> list[bytes]:
     """Words of toxic texts that hold such a string, the most common first."""
-    known = np.sort(np.array([int.from_bytes(s, "big") for s in spoken], np.int64))
-
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[bytes] = []
         for text in as_bytes(batch.column("text")):
-            out += [w for w in ({b" " + x + b" " for x in folded(text).split()}) if len(w) <= 64 and np.isin(strings(w), known).any()]
+            out += [w for w in ({b" " + x + b" " for x in folded(text).split()}) if len(w) <= 64 and any(w[k : k + STRING] in spoken for k in range(len(w) - STRING + 1))]
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["word"])
 
     held = per_batch(sample.where("label = 1"), step, "word binary").groupBy("word").count().orderBy(F.desc("count"), "word").limit(4 * TOXIC_BYTES)
