@@ -2,8 +2,10 @@
 
 Which row follows a kept row depends on that row alone, so the kept rows form a
 chain of "next" pointers. Each slab is reduced to its possible entry rows and the
-row its chain would leave from; those few rows are walked in order per key, and
-every slab then replays its own chain from the row it was really entered on.
+row its chain would leave from. Two neighbours combine to the entries and exits of
+both together, so a tree over a key's slabs gives what each was entered with in a logarithmic
+number of steps; no task sees more than two neighbours. Every slab then replays its own chain
+from the row it was really entered on.
 """
 
 from __future__ import annotations
@@ -11,9 +13,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ambientspark.operators.slabs import SLAB, add_slab, hashed, walk_slabs
+from ambientspark.operators.slabs import SLAB, add_slab, hashed, stage
 
 
 @dataclass(frozen=True)
@@ -169,6 +171,79 @@ def slab_tables(batches, part):
             yield table.slice(lo, hi - lo)
 
 
+def _entered(summary: DataFrame, keys: list[str], types: dict[str, str], rule, entry_ddl: str, x_type: str, x_dtype) -> DataFrame:
+    """What each slab of a key is entered with: keys, slab, in_t, in_x (null for the first), from the slabs' entries and exits.
+
+    Up the tree: the entries of two neighbours are those of the left one, led on through the right one, and those of the
+    right one that something may still enter past the left one. Down the tree: the left child is entered as its parent, the right one with what the
+    left one makes of that.
+    """
+    import pyarrow as pa
+    index = Window.partitionBy(*keys).orderBy(SLAB)
+    slabs = stage(summary.select(*keys, SLAB).distinct().withColumn("_node", F.row_number().over(index).cast("bigint") - 1))
+    top = slabs.agg(F.max("_node")).first()[0]
+    key_ddl = "".join(f"{c} {types[c]}, " for c in keys)
+    group = [*keys, "_pair"]
+
+    def paired(level: DataFrame, *more: str) -> DataFrame:
+        df = level.withColumns({"_pair": F.shiftright("_node", 1), "_right": F.col("_node").bitwiseAND(F.lit(1).cast("bigint"))})
+        return hashed(df, group, ["_right", *more, "pos"])
+
+    def columns(table):
+        t, exit_t = (table.column(c).to_numpy().astype(float) for c in ("t", "exit_t"))
+        x, exit_x = (table.column(c).to_numpy(zero_copy_only=False).astype(x_dtype) for c in ("x", "exit_x"))
+        return t, x, exit_t, exit_x
+
+    def combined(batches):
+        for table in slab_tables(batches, group):
+            t, x, exit_t, exit_x = columns(table)
+            cut = int(np.searchsorted(table.column("_right").to_numpy(), 1))
+            out_t, out_x, led = exit_t.copy(), exit_x.copy(), {}
+            for i in range(cut if cut < len(t) else 0):
+                left = (exit_t[i], exit_x[i])
+                if left not in led:
+                    j = rule.first(left, t[cut:], x[cut:])
+                    led[left] = left if j is None else (exit_t[cut + j], exit_x[cut + j])
+                out_t[i], out_x[i] = led[left]
+            keep = np.asarray(rule.entries(t, x))
+            here = table.take(pa.array(keep))
+            yield from pa.table(
+                [*[here.column(c) for c in (*keys, "_pair")], pa.array(np.arange(len(keep))), here.column("t"), here.column("x"), pa.array(out_t[keep]),
+                 pa.array(out_x[keep].tolist(), here.column("x").type)],
+                names=[*keys, "_node", "pos", "t", "x", "exit_t", "exit_x"]).to_batches()
+
+    def passed_on(batches):
+        for table in slab_tables(batches, group):
+            t, x, exit_t, exit_x = columns(table)
+            head = table.slice(0, 1).to_pylist()[0]
+            came = None if head["in_t"] is None else (head["in_t"], head["in_x"])
+            left = np.flatnonzero((table.column("_right").to_numpy() == 0) & (table.column("pos").to_numpy() >= 0))
+            j = 0 if came is None else rule.first(came, t[left], x[left])
+            leaves = came if j is None else (exit_t[left[j]], exit_x[left[j]])
+            children = [(2 * head["_pair"], came), *([(2 * head["_pair"] + 1, leaves)] if table.column("_right").to_numpy()[-1] == 1 else [])]
+            yield pa.RecordBatch.from_pylist([{**{c: head[c] for c in keys}, "_node": node, "in_t": None if e is None else float(e[0]), "in_x": None if e is None else e[1]}
+                                              for node, e in children], schema=states)
+
+    levels = [summary.join(slabs, [*keys, SLAB]).drop(SLAB)]
+    while top >> (len(levels) - 1):
+        levels.append(stage(paired(levels[-1]).mapInArrow(combined, f"{key_ddl}_node bigint, {entry_ddl}")))
+    state_ddl = f"{key_ddl}_node bigint, in_t double, in_x {x_type}"
+    states = _arrow_schema(state_ddl)
+    entered = levels[-1].select(*keys, "_node").distinct().withColumns({"in_t": F.lit(None).cast("double"), "in_x": F.lit(None).cast(x_type)})
+    for level in reversed(levels[:-1]):
+        # the state leads its pair; of the right child one row tells that it is there
+        rows = level.filter("_node % 2 = 0 OR pos = 0")
+        lead = entered.select(*keys, F.shiftleft("_node", 1).alias("_node"), "in_t", "in_x", F.lit(-1).cast("bigint").alias("pos"))
+        entered = stage(paired(rows.unionByName(lead, allowMissingColumns=True)).mapInArrow(passed_on, state_ddl))
+    return entered.join(slabs, [*keys, "_node"]).select(*keys, SLAB, "in_t", "in_x")
+
+
+def _arrow_schema(ddl: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def keep_chain(df: DataFrame, keys: list[str], order: list[str], slab_s: float, rule,
                value: Column | None = None) -> DataFrame:
     """Rows of df the rule keeps, per key in `order`; the first row of a key is always kept."""
@@ -200,30 +275,9 @@ def keep_chain(df: DataFrame, keys: list[str], order: list[str], slab_s: float,
                     at.column("_x"), pa.array(t[exits]), out]
             yield from pa.table(cols, names=[*part, "pos", "t", "x", "exit_t", "exit_x"]).to_batches()
 
-    summary = hashed(slim, part, order).mapInArrow(
-        summarise, f"{key_ddl}, pos bigint, t double, x {x_type}, exit_t double, exit_x {x_type}")
-
-    def carried(row, inbound):
-        t, x = inbound or (None, None)
-        return {**{c: row[c] for c in part}, "in_t": t, "in_x": x}
-
-    def step(state, row):
-        """State: slab, whether its entry is found, what it was entered with, last kept (t, x)."""
-        leaves = (row["exit_t"], row["exit_x"])
-        if state is None:
-            return [carried(row, None)], (row[SLAB], True, None, leaves)
-        slab, entered, inbound, kept = state
-        out = []
-        if row[SLAB] != slab:
-            slab, entered, inbound = row[SLAB], False, kept
-            out = [carried(row, inbound)]
-        if not entered:
-            here = np.array([row["t"]]), np.array([row["x"]], dtype=x_dtype)
-            if rule.first(inbound, *here) == 0:
-                entered, kept = True, leaves
-        return out, (slab, entered, inbound, kept)
-
-    carry = walk_slabs(summary, keys, [SLAB, "pos"], step, f"{key_ddl}, in_t double, in_x {x_type}")
+    entry_ddl = f"pos bigint, t double, x {x_type}, exit_t double, exit_x {x_type}"
+    summary = stage(hashed(slim, part, order).mapInArrow(summarise, f"{key_ddl}, {entry_ddl}"))
+    carry = _entered(summary, keys, types, rule, entry_ddl, x_type, x_dtype)
     # The carry of a slab travels as its leading row, so the rows are shuffled once.
     both = (rows.withColumn("_row", F.lit(1))
             .unionByName(carry.withColumn("_row", F.lit(0)), allowMissingColumns=True))

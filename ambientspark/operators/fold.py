@@ -17,68 +17,79 @@ def scan(df: DataFrame, keys: list[str], order: list[str], slab_s: float, zero,
 
     Emits the rows step returns, with the columns of the DDL `out`. The state must be
     JSON-serialisable and equal states must serialise equally. Every slab is first folded
-    from `zero`; slabs whose predecessor ended in another state are folded again from
-    that state until all agree, so the result is the sequential one. Folds that forget
-    their start (caps, resets, time-outs) settle in two or three rounds.
+    from `zero`. Then, round by round, a slab whose predecessor ended in another state than it was folded from is folded
+    again, and the slabs after it in the same run as long as their states change too. Runs have 1, 2, 4... slabs, so
+    the result is the sequential one after as many rounds as the number of slabs has binary digits, and two or three
+    for folds that forget their start (caps, resets, time-outs). A run is streamed, one slab at a time.
     """
     import pyarrow as pa
     part = [*keys, SLAB]
-    rows = add_slab(stage(df), order[0], slab_s)  # read back once per round
-    types = dict(rows.dtypes)
+    placed = add_slab(stage(df), order[0], slab_s)
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(SLAB)).cast("bigint") - 1
+    slabs = stage(placed.select(*part).distinct().withColumn("_nth", number))
+    types = dict(placed.dtypes)
     key_ddl = ", ".join(f"{c} {types[c]}" for c in part)
     start = json.dumps(zero)
-
-    def with_states(states, of=rows):
-        """Slab states travel as the leading row of their slab; slabs without one are left out."""
-        both = (of.withColumn("_row", F.lit(1))
-                .unionByName(states.withColumn("_row", F.lit(0)), allowMissingColumns=True))
-        return hashed(both, part, ["_row", *order])
-
-    def fold(batches, emit):
+    state_ddl = f"{key_ddl}, _nth bigint, state_in string, state_out string"
+
+    def led(states, of):
+        """Rows with the states of their slabs as leading rows."""
+        return of.withColumn("_row", F.lit(1)).unionByName(states.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+
+    def folded(slab, state, made=None):
+        for chunk in slab.slice(1).to_batches(max_chunksize=4096):
+            for row in chunk.to_pylist():
+                state, result = step(state, row)
+                if made is not None and result is not None:
+                    made.append(result)
+        return state
+
+    def again(batches):
+        """Runs of slabs in order; `want` is set where a slab is known to start from another state."""
+        run = state = None
         for slab in slab_tables(batches, part):
             head = slab.slice(0, 1).to_pylist()[0]
-            if head["_row"] == 1:
+            if (*(head[c] for c in keys), head["_run"]) != run:
+                run, state = (*(head[c] for c in keys), head["_run"]), None
+            if state is None:
+                state = head["want"]
+            if state is None or (state == head["state_in"] and head["state_out"] is not None):
+                state = None  # as folded before, and so are those after it up to the next that is not
                 continue
-            state, made = json.loads(head["state_in"]), []
-            for chunk in slab.slice(1).to_batches(max_chunksize=4096):
-                for row in chunk.to_pylist():
-                    state, result = step(state, row)
-                    if emit and result is not None:
-                        made.append(result)
-            yield head, state, made
-
-    def ends(batches):
-        for head, state, _ in fold(batches, emit=False):
-            yield pa.RecordBatch.from_pydict({**{c: [head[c]] for c in part}, "state_in": [head["state_in"]],
-                                              "state_out": [json.dumps(state)]})
-
-    state_ddl = f"{key_ddl}, state_in string, state_out string"
-    slabs = rows.select(*part).distinct().withColumn("state_in", F.lit(start))
-    states = stage(with_states(slabs).mapInArrow(ends, state_ddl))
+            ended = json.dumps(folded(slab, json.loads(state)))
+            yield pa.RecordBatch.from_pydict({**{c: [head[c]] for c in part}, "_nth": [head["_nth"]], "state_in": [state], "state_out": [ended]})
+            state = ended
+
+    blank = slabs.withColumns({"state_in": F.lit(None).cast("string"), "state_out": F.lit(None).cast("string"), "want": F.lit(start)})
+    first = led(blank.withColumn("_run", F.col("_nth")), placed)
+    states = stage(hashed(first, part, ["_row", *order]).mapInArrow(again, state_ddl))
     before = F.coalesce(F.lag("state_out").over(Window.partitionBy(*keys).orderBy(SLAB)), F.lit(start))
     rounds = 0
     while True:
-        due = states.withColumn("want", before)
-        wrong = due.filter("want <> state_in").select(*part, F.col("want").alias("state_in"))
+        wrong = states.withColumn("want", before).filter("want <> state_in").select(*part, "want")
         if wrong.isEmpty():
             break
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"fold did not settle in {max_rounds} rounds")
         rounds += 1
-        redone = with_states(wrong, rows.join(wrong.select(*part), part, "left_semi")).mapInArrow(ends, state_ddl)
-        states = stage(states.join(redone.select(*part, F.col("state_in").alias("_i"), F.col("state_out").alias("_o")),
-                              part, "left")
-                  .select(*part, F.coalesce("_i", "state_in").alias("state_in"),
-                          F.coalesce("_o", "state_out").alias("state_out")))
-    final = with_states(states.select(*part, "state_in"))
+        due = states.withColumn("_run", F.shiftright("_nth", rounds)).join(wrong, part, "left")
+        # a run is taken from its first wrong slab on
+        opened = F.max(F.col("want").isNotNull()).over(Window.partitionBy(*keys, "_run").orderBy(SLAB))
+        due = due.withColumn("_open", opened).filter("_open").drop("_open")
+        rows = placed.join(due.select(*part, "_run"), part).withColumn("_nth", F.lit(None).cast("bigint"))
+        redone = hashed(led(due, rows), [*keys, "_run"], [SLAB, "_row", *order]).mapInArrow(again, state_ddl)
+        states = stage(states.join(redone.select(*part, F.col("state_in").alias("_i"), F.col("state_out").alias("_o")), part, "left")
+                       .select(*part, "_nth", F.coalesce("_i", "state_in").alias("state_in"), F.coalesce("_o", "state_out").alias("state_out")))
     schema = _arrow(out)
 
-    def emitted_arrow(batches):
-        for _, _, made in fold(batches, emit=True):
+    def emitted(batches):
+        for slab in slab_tables(batches, part):
+            made: list[dict] = []
+            folded(slab, json.loads(slab.column("state_in")[0].as_py()), made)
             if made:
                 yield from pa.Table.from_pylist(made, schema=schema).to_batches()
 
-    return final.mapInArrow(emitted_arrow, out)
+    return hashed(led(states.select(*part, "state_in"), placed), part, ["_row", *order]).mapInArrow(emitted, out)
 
 
 def _arrow(ddl: str):

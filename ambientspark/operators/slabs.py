@@ -10,7 +10,6 @@ back a fixed horizon take copies of the previous slab's tail instead.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -238,26 +237,3 @@ def shared_dir(spark) -> str:
         named = f"{tempfile.mkdtemp(prefix='ambientspark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
-
-
-def walk_slabs(summary: DataFrame, keys: list[str], order: list[str], step: Callable,
-               schema: str) -> DataFrame:
-    """Stream slab summaries of each key in order through step(state, row) -> (out rows, state).
-
-    For carries that no window expresses. Holds one state at a time, never a group.
-    """
-    import pandas as pd
-    names = [f.strip().split()[0] for f in schema.split(",")]
-
-    def walk(batches):
-        key = state = None
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                k = tuple(row[c] for c in keys)
-                if k != key:
-                    key, state = k, None
-                rows, state = step(state, row)
-                out.extend(rows)
-            yield pd.DataFrame(out, columns=names)
-    return hashed(summary, keys, order).mapInPandas(walk, schema)
