@@ -36,10 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: computed once, and kept when executors are lost."""
+def staged(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """df written to the shared folder and read again: computed once, and kept when executors are lost. zstd takes less disk for more time."""
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,3 +68,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(offsets, before + most, "right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, or name with underscores before it if columns has one that reads the same."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def as_rows(docs: DataFrame, *more) -> DataFrame:
+    """The rows of docs as one struct column `doc`, so that no column of theirs meets one of an operator's, with further columns."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *more)

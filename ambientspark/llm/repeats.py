@@ -20,6 +20,8 @@ LENGTH = 100
 SEED_BYTES = 36
 #: Places handled at once inside a long text.
 BLOCK = 1 << 18
+#: Suffixes that are told apart before the shuffle are spread over so many keys.
+SPREAD = 4096
 #: Starts that a task gathers before it gives them out as runs.
 FOUND_ROWS = 200_000
 
@@ -102,7 +104,7 @@ def packed(first: np.ndarray, starts: np.ndarray, offset: np.ndarray | int = 0)
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc (a number of the row, in order of doc_id, null first, then of place in the table), doc_id, text; stored, so that the numbers stay."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("nth"))
-    return staged(rows.orderBy(F.col("doc_id").asc_nulls_first(), "nth").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"))
+    return staged(rows.orderBy(F.col("doc_id").asc_nulls_first(), "nth").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text"), "zstd")
 
 
 TUPLE = "full boolean, seed long, high long, low long, doc long, place long"
@@ -127,7 +129,7 @@ def _tuples(texts: DataFrame) -> DataFrame:
             head = np.concatenate([[True], (seed[1:] != seed[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
             lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
             full = (doc != doc[lead]) | (place != place[lead])
-            seed = np.where(full, _mixed(doc.view(np.uint64) + place.view(np.uint64)).view(np.int64), seed)  # these go anywhere
+            seed = np.where(full, doc % SPREAD, seed)  # these go anywhere
             high, low = (np.where(full, 0, x) for x in (high, low))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, seed, high, low, doc, place)], names=["full", "seed", "high", "low", "doc", "place"])
 
@@ -253,9 +255,9 @@ def repeats(texts: DataFrame) -> DataFrame:
 
     Earlier: in a row of smaller number, or at a smaller start of the same.
     """
-    told = staged(_told_apart(_tuples(texts)))
+    told = staged(_told_apart(_tuples(texts)), "zstd")
     open_ = told.where(~F.col("full")).select("doc", "place").distinct()
-    found = _repeated_strings(staged(_contexts(texts, open_)))
+    found = _repeated_strings(staged(_contexts(texts, open_), "zstd"))
     return told.where("full").select("doc", "place").unionByName(found)
 
 
