@@ -9,9 +9,9 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from ambientspark.llm.common import id_text
+from ambientspark.llm.common import as_bytes, as_rows, id_text, staged, unused
 from ambientspark.llm.licenses import FOLD
 
 #: A window leaks an item if at most this share of the item's words needs inserting, deleting or replacing.
@@ -298,45 +298,53 @@ class Items:
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
-def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of about PASS_BYTES at most: only one block at a time is held by the driver and sent to the tasks."""
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + total // PASS_BYTES
+def _passes(items: DataFrame, parts: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in blocks of about PASS_BYTES at most: only one block at a time is held by the driver."""
     for part in range(parts):
         block = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
-        yield [(r.item_id, r.text.encode("utf-8")) for r in block.distinct().orderBy("item_id", "text").collect()]
+        if rows := [(r.item_id, r.text.encode("utf-8")) for r in block.distinct().orderBy("item_id", "text").collect()]:
+            yield rows
+
+
+def _found(texts: DataFrame, items) -> DataFrame:
+    """_row and leaks of the rows of texts (_row, text) that have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("item_id", "first_word", "last_word", "edits")
+        for batch in batches:
+            found = items.value.leaks([t or b"" for t in as_bytes(batch.column("text"))])
+            at = [k for k, spans in enumerate(found) if spans]
+            spans = [[dict(zip(names, x, strict=True)) for x in found[k]] for k in at]
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(spans, pa.list_(_PAIR))], names=["_row", "leaks"])
+
+    return texts.mapInArrow(run, f"_row long, leaks array<{SPAN}>")
 
 
 def leak_spans(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL, column: str = "_leaks") -> DataFrame:
-    """docs with an array column of (item_id, first_word, last_word, edits), words from 0; no shuffle.
+    """docs with an array column of (item_id, first_word, last_word, edits), words from 0, in place of one of that name.
 
     An item leaks where a window of a document is within `rate` of its words by edit distance; of overlapping finds of one item
     the nearest counts. Windows of the length of every item up to EMBEDDED_WORDS are embedded, sampled positions find the candidates, with the
     stated recall for edited windows and certainty for exact ones; longer items are found by the piece that must stand unchanged, all of
     them. The edit distance decides. Items without words match nothing; a
-    null or empty text has no leaks. All rows and columns of docs stay.
+    null or empty text has no leaks. All rows and columns of docs stay. Rows are stored once; a block of items at a time is broadcast, its finds (few) are stored, and the
+    broadcast is given up before the next.
     """
-    out = docs.withColumn(column, F.expr(f"cast(array() as array<{SPAN}>)"))
-    for rows in _passes(benchmark):
-        if not rows:
-            continue
-        items = docs.sparkSession.sparkContext.broadcast(Items.of(rows, rate, recall))
-        place, text = out.columns.index(column), out.columns.index("text")
-        schema = T.StructType(out.schema.fields)
-
-        def run(batches: Iterator[pa.RecordBatch], items=items, place=place, text=text) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(text).cast(pa.binary()).to_pylist()
-                had = batch.column(place).to_pylist()
-                names = ("item_id", "first_word", "last_word", "edits")
-                new = items.value.leaks([t or b"" for t in texts])
-                found = [h + [dict(zip(names, x, strict=True)) for x in spans] for h, spans in zip(had, new, strict=True)]
-                columns = batch.columns[:place] + [pa.array(found, pa.list_(_PAIR))] + batch.columns[place + 1 :]
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        out = out.mapInArrow(run, schema)
-    return out
+    known = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = staged(as_rows(docs, F.monotonically_increasing_id().alias("_row")))
+    found = None
+    for block in _passes(known, 1 + total // PASS_BYTES):
+        items = docs.sparkSession.sparkContext.broadcast(Items.of(block, rate, recall))
+        part = staged(_found(rows.select("_row", F.col("doc.text").alias("text")), items))
+        items.destroy()
+        found = part if found is None else found.unionByName(part)
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns if c != column]
+    if found is None:
+        return rows.select(*columns, none.alias(column))
+    spans = found.groupBy("_row").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))  # bounded by one text
+    return rows.join(spans, "_row", "left").select(*columns, F.coalesce("leaks", none).alias(column))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL) -> DataFrame:
@@ -347,4 +355,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL) -> DataFrame:
     """The rows of docs without leaks."""
-    return leak_spans(docs, benchmark, rate, recall).where(F.size("_leaks") == 0).select(*docs.columns)
+    column = unused("_leaks", docs.columns)
+    return leak_spans(docs, benchmark, rate, recall, column).where(F.size(column) == 0).select(*docs.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ambientspark.llm.common import as_bytes, id_text, staged
+from ambientspark.llm.common import as_bytes, as_rows, id_text, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -159,7 +159,7 @@ def slack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces with sequence_id and offset: the sequence each piece goes to and its place there.
+    """pieces with sequence_id and offset (in place of columns of these names): the sequence each piece goes to and its place there.
 
     `pieces` has `length` (1 to capacity) besides any other columns and should be a stored table, as it is read
     twice: for the histogram of lengths, then to number the pieces of each length. Only the histogram (at most
@@ -167,26 +167,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     numbered in parts. Pieces of the same length are interchangeable, so ties do not matter. An empty table stays empty.
     """
     spark = pieces.sparkSession
-    columns = pieces.columns
     total = pieces.count()
     parts = max(4, -(-total // RANKED_TOGETHER))
-    salted = pieces.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
-    sizes = staged(salted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")))
-    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("_n")).collect()}
+    mark = F.xxhash64(*[pieces[f"`{c}`"] for c in pieces.columns])
+    rows = as_rows(pieces, F.col("length").alias("length"), mark.alias("mark")).withColumn("part", F.pmod("mark", F.lit(parts)))
+    sizes = staged(rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}
     plan = slack_plan(counts, capacity)
-    before = sizes.withColumn(
-        "_before", F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(F.xxhash64(*columns))) - 1)
-    ranked = ranked.join(before.select("length", "_part", "_before"), ["length", "_part"])
-    table = spark.createDataFrame(plan or [(0,) * 6], "length long, _first long, _span long, _copies long, _bin long, _offset long")
-    rank = F.col("_rank") + F.col("_before")
-    local = rank - F.col("_first")
-    placed = ranked.alias("r").join(
-        F.broadcast(table).alias("p"), (F.col("r.length") == F.col("p.length")) & (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_span")))
-    return placed.select(
-        *[F.col(f"r.{c}") for c in columns],
-        (F.col("_bin") + F.floor(local / F.col("_copies"))).cast("long").alias("sequence_id"),
-        (F.col("_offset") + F.pmod(local, F.col("_copies")) * F.col("r.length")).cast("long").alias("offset"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("length", "part").orderBy("mark")) - 1
+    ranked = rows.withColumn("inside", inside).join(before, ["length", "part"]).select("doc", "length", (F.col("inside") + F.col("before")).alias("rank"))
+    table = spark.createDataFrame(plan or [(0,) * 6], "of long, first long, span long, copies long, bin long, start long")
+    fits = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("span"))
+    local = F.col("rank") - F.col("first")
+    return ranked.join(F.broadcast(table), fits).select(
+        *[F.col("doc")[c].alias(c) for c in pieces.columns if c not in ("sequence_id", "offset")],
+        (F.col("bin") + F.floor(local / F.col("copies"))).cast("long").alias("sequence_id"),
+        (F.col("start") + F.pmod(local, F.col("copies")) * F.col("length")).cast("long").alias("offset"))
 
 
 def packed_digest(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

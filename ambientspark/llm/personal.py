@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ambientspark.llm.common import staged
+from ambientspark.llm.common import as_rows, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Stands for a character that is known to be inside an entity; a text's own is replaced first, so positions stay.
@@ -105,9 +105,9 @@ def _with_context(text: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), words(s).alias("patterns")))
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """docs with the array column `entities`: base spans (kind set) and other words with digits (kind null), with their patterns."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def entities(text: Column) -> Column:
+    """Array of the base spans (kind set) and the other words with digits (kind null) of a text, with their patterns."""
+    text = F.coalesce(text, F.lit(""))
 
     def both(base: Column) -> Column:
         words = F.filter(_places(text, CANDIDATE), lambda c: (c["end"] - c["start"] >= LEAST_CANDIDATE)
@@ -116,7 +116,7 @@ def entities(docs: DataFrame) -> DataFrame:
         return _with_context(text, F.concat(base, other))
 
     none = "cast(array() as array<struct<kind: string, start: int, end: int, value: string, patterns: array<string>>>)"
-    return docs.withColumn("entities", F.when(text.rlike("[0-9@]"), _let(base_spans(text), both)).otherwise(F.expr(none)))
+    return F.when(text.rlike("[0-9@]"), _let(base_spans(text), both)).otherwise(F.expr(none))
 
 
 def bootstrapped(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
@@ -145,8 +145,8 @@ def bootstrapped(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
     return taught.select("value", "kind")
 
 
-def _scanned(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _row() -> Column:
+    return F.monotonically_increasing_id().alias("_row")
 
 
 def _found_spans(scan: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 
     Both are in order of kind, then start. A null or empty text has none; repeated rows and null ids are kept.
     """
-    scan = staged(_scanned(entities(docs.select("doc_id", "text"))).select("_row", "doc_id", "entities"))
+    scan = staged(docs.select(_row(), "doc_id", entities(F.col("text")).alias("entities")))
     empty = F.expr("cast(array() as array<struct<kind: string, start: int, end: int>>)")
     return scan.join(_found_spans(scan), "_row", "left").select("doc_id", _base("entities").alias("base"), F.coalesce("more", empty).alias("more"))
 
@@ -199,15 +199,17 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]; all rows and columns stay.
+    """docs with personal data in text replaced by [EMAIL], [IP], [CARD] or [PHONE]; all rows and columns stay, whatever their names.
 
     The scan is stored once with its rows. Only rows with candidate words meet the found identifiers; the others do not move.
     """
-    scan = staged(_scanned(entities(docs)))
+    scan = staged(as_rows(docs, _row(), entities(F.col("text")).alias("entities")))
     open_rows = F.exists("entities", lambda e: e["kind"].isNull())
     more = _found_spans(scan.select("_row", "entities"))
     empty = F.expr("cast(array() as array<struct<kind: string, start: int, end: int>>)")
-    settled = scan.where(~open_rows).withColumn("_spans", _base("entities"))
-    rest = scan.where(open_rows).join(more, "_row", "left").withColumn("_spans", F.concat(_base("entities"), F.coalesce("more", empty)))
-    columns = [F.when(F.size("_spans") > 0, _replaced(F.col("text"), F.col("_spans"))).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    settled = scan.where(~open_rows).select("doc", _base("entities").alias("spans"))
+    rest = scan.where(open_rows).join(more, "_row", "left").select("doc", F.concat(_base("entities"), F.coalesce("more", empty)).alias("spans"))
+    text = F.col("doc.text")
+    kept = F.when(F.size("spans") > 0, _replaced(text, F.col("spans"))).otherwise(text).alias("text")
+    columns = [kept if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]
     return settled.select(*columns).unionByName(rest.select(*columns))

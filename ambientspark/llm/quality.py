@@ -135,14 +135,14 @@ def _any_outside(rules: tuple[Rule, ...], found: Column) -> Column:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
-    """docs with quality_metrics, base_failed, kept and failed_rules (names, in the tables' order).
+    """docs with quality_metrics, base_failed, kept and failed_rules (names, in the tables' order), in place of columns of these names that docs has.
 
     Every row stays, repeated ones too; a document is kept if it fails no rule of either table.
     """
     scored = metrics(docs, text)
     found = F.col("quality_metrics")
     failed = F.filter(F.array(*[F.when(_outside(r, found), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
-    return scored.select("*", _any_outside(base, found).alias("base_failed"), failed.alias("failed_rules")).withColumn("kept", F.size("failed_rules") == 0)
+    return scored.withColumns({"base_failed": _any_outside(base, found), "failed_rules": failed}).withColumn("kept", F.size("failed_rules") == 0)
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:

@@ -135,14 +135,3 @@ def near_duplicates(docs: DataFrame, size: int = 3, seed: int = 42, threshold: i
 def hex_fingerprint(column: str = "fp") -> Column:
     """16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
-
-
-def representatives(docs: DataFrame, size: int = 3, seed: int = 42, threshold: int = 2) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id, of equal ids one.
-
-    Rows with a null doc_id can't be told apart and are kept.
-    """
-    groups = near_duplicates(docs, size, seed, threshold)
-    rest = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(rest, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))

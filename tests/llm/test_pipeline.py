@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from ambientspark.llm import decontaminate, packing, personal, quality, queries, simhash
+from ambientspark.llm import decontaminate, packing, personal, quality, queries
+
+sys.path.insert(0, str(Path(__file__).parent))
+from test_copies import kept_by_brute_force  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -37,8 +42,8 @@ def test_stages_keep_the_columns(stages):
 def test_each_stage_decides_as_its_operator_on_its_own_input(spark, stages):
     (_, all_docs, ruled), (_, _, unique), (_, _, clean), (_, _, redacted), (_, _, _) = stages
     assert ids(ruled) == ids(quality.judged(all_docs).where("kept")) and len(ids(ruled)) < all_docs.count()
-    groups = simhash.near_duplicates(ruled).collect()
-    assert ids(unique) == {r.component_id for r in groups} and len(ids(unique)) < len(groups)
+    rows = [(r.doc_id, r.text) for r in ruled.select("doc_id", "text").collect()]
+    assert ids(unique) == {rows[k][0] for k in kept_by_brute_force(rows)} and len(ids(unique)) < len(rows)
     leaking = ids(decontaminate.leaks(unique, spark.read.parquet(f"{SMALL}/benchmark.parquet")))
     assert ids(clean) == ids(unique) - leaking
     before = {r.doc_id: r.text for r in clean.collect()}
