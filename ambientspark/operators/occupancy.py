@@ -6,18 +6,23 @@ bounded; parallelism comes from the buffers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ambientspark.functions import constants as C, columns as col
-from ambientspark.operators.joins import asof_reading, evidence_window
+from ambientspark.operators.joins import asof_reading
+from ambientspark.operators.slabs import SLAB, hashed, with_halo
 from ambientspark.operators.smoothing import bucket_smoother, recent_values
 
 
 def threshold_cluster(evidence: DataFrame, buffer: list[str], threshold: float = C.CLUSTER_THRESHOLD,
-                      order: tuple[str, ...] = ("at", "evidence_id")) -> DataFrame:
-    """Average-linkage clusters per buffer over cosine distance, cut at the threshold; adds `label`."""
-    evidence = evidence.drop("label")
+                      order: tuple[str, ...] = ("at", "evidence_id"), cap: int = C.BUFFER_CAP) -> DataFrame:
+    """Average-linkage clusters per buffer over cosine distance, cut at the threshold; adds `label`.
+
+    A buffer is its newest `cap` rows, as in a room: older ones have left it. (Each task keeps only these before the shuffle.)"""
+    newest = Window.partitionBy(*buffer).orderBy(*[F.col(o).desc() for o in order])
+    evidence = evidence.drop("label").withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= cap).drop("_r")
     schema = StructType([*evidence.schema.fields, StructField("label", LongType())])
 
     def label(pdf):
@@ -32,22 +37,35 @@ def threshold_cluster(evidence: DataFrame, buffer: list[str], threshold: float =
 def average_linkage(dist, threshold: float):
     """Merge the closest pair (first in row order on ties) until none is below the threshold.
 
-    Labels number the clusters by their first member."""
+    Labels number the clusters by their first member. Each row keeps its nearest neighbour, so a merge looks at one number per row and searches again
+    only where the nearest was one of the two."""
     import numpy as np
     n = len(dist)
     gap = np.array(dist, dtype=float)
     np.fill_diagonal(gap, np.inf)
     size, owner = np.ones(n), np.arange(n)
-    while True:
-        a, b = divmod(int(gap.argmin()), n)
-        if not gap[a, b] < threshold:
+    near = gap.argmin(axis=1) if n else np.zeros(0, dtype=int)
+    least = gap[np.arange(n), near]
+    while n:
+        a = int(least.argmin())
+        if not least[a] < threshold:
             break
+        b = int(near[a])  # a is the first row with this gap, so b is later
         joined = (size[a] * gap[a] + size[b] * gap[b]) / (size[a] + size[b])
         gap[a], gap[:, a] = joined, joined
         gap[a, a] = np.inf
         gap[b], gap[:, b] = np.inf, np.inf
         size[a] += size[b]
         owner[owner == b] = a
+        least[b] = np.inf
+        again = np.flatnonzero(((near == a) | (near == b)) & np.isfinite(least))
+        near[again] = gap[again].argmin(axis=1)
+        least[again] = gap[again, near[again]]
+        near[a] = int(gap[a].argmin())
+        least[a] = gap[a, near[a]]
+        closer = (gap[:, a] < least) | ((gap[:, a] == least) & (a < near))
+        closer[[a, b]] = False
+        near[closer], least[closer] = a, gap[closer, a]
     return np.unique(owner, return_inverse=True)[1].astype("int64")
 
 
@@ -157,14 +175,18 @@ def buffer_stats(evidence: DataFrame, buffer: list[str], threshold: float = C.CL
 def buffer_numbers(x, seconds, threshold: float = C.CLUSTER_THRESHOLD, min_segments: int = C.MIN_CLUSTER_SEGMENTS,
                    min_s: float = C.MIN_CLUSTER_S, min_frac: float = C.MIN_CLUSTER_FRAC) -> tuple:
     """(segments, evidence_s, clusters, raw_clusters, stray_segments, fragmentation, separation, dispersion) of one buffer: unit vectors in order and their seconds."""
+    return product_numbers(x @ x.T, seconds, threshold, min_segments, min_s, min_frac)
+
+
+def product_numbers(products, seconds, threshold: float = C.CLUSTER_THRESHOLD, min_segments: int = C.MIN_CLUSTER_SEGMENTS,
+                    min_s: float = C.MIN_CLUSTER_S, min_frac: float = C.MIN_CLUSTER_FRAC) -> tuple:
+    """`buffer_numbers` from the dot products of the vectors."""
     import numpy as np
-    label = average_linkage(1.0 - np.clip(x @ x.T, -1.0, 1.0), threshold)
-    n, size, total = len(x), np.bincount(label), seconds.sum()
+    label = average_linkage(1.0 - np.clip(products, -1.0, 1.0), threshold)
+    n, size, total = len(label), np.bincount(label), seconds.sum()
     mass = np.bincount(label, weights=seconds)
     heavy = ((size >= min_segments) | (mass >= min_s)) & (mass >= min_frac * total)
-    sums = np.zeros((len(size), x.shape[1]))
-    np.add.at(sums, label, x)
-    own, dots = np.einsum("ij,ij->i", x, x), x @ sums.T
+    own, dots = np.diagonal(products), products @ np.eye(len(size))[label]
     with np.errstate(divide="ignore", invalid="ignore"):
         inside = 1.0 - (dots[np.arange(n), label] - own) / (size[label] - 1)
     away = 1.0 - dots / size
@@ -174,18 +196,90 @@ def buffer_numbers(x, seconds, threshold: float = C.CLUSTER_THRESHOLD, min_segme
     told = (size[label] > 1) & np.isfinite(near) & (top > 0)
     separation = float(((near - inside)[told] / top[told]).mean()) if n >= 3 and told.any() else 0.0
     many = size >= 2
-    spread = size * (size - 1.0) - (np.einsum("ij,ij->i", sums, sums) - np.bincount(label, weights=own))
+    spread = size * (size - 1.0) - np.bincount(label, weights=dots[np.arange(n), label] - own)
     dispersion_ = float((spread[many] / (size[many] - 1)).sum() / size[many].sum()) if many.any() else 0.0
     stray = int(n - size[heavy].sum())
     return n, float(total), len(size), max(int(heavy.sum()), 1), stray, stray / n, separation, dispersion_
 
 
+class _Ring:
+    """The newest evidence of one room: times, seconds, vectors and their dot products, in room for twice as many rows so that shifting is rare."""
+
+    def __init__(self, cap: int, dim: int) -> None:
+        import numpy as np
+        self.cap, self.low, self.high = cap, 0, 0
+        self.at, self.seconds = np.zeros(2 * cap), np.zeros(2 * cap)
+        self.x, self.products = np.zeros((2 * cap, dim)), np.zeros((2 * cap, 2 * cap))
+
+    def add(self, at: float, seconds: float, x) -> None:
+        if self.high == 2 * self.cap:
+            kept = slice(self.low, self.high)
+            n = self.high - self.low
+            self.at[:n], self.seconds[:n], self.x[:n] = self.at[kept].copy(), self.seconds[kept].copy(), self.x[kept].copy()
+            self.products[:n, :n] = self.products[kept, kept].copy()
+            self.low, self.high = 0, n
+        k = self.high
+        self.at[k], self.seconds[k], self.x[k] = at, seconds, x
+        self.high = k + 1
+        self.low = max(self.low, self.high - self.cap)
+        row = self.x[self.low : self.high] @ x
+        self.products[k, self.low : self.high] = row
+        self.products[self.low : self.high, k] = row
+
+    def since(self, at: float):
+        """Products and seconds of what is left once all before `at` is gone."""
+        while self.low < self.high and self.at[self.low] < at:
+            self.low += 1
+        kept = slice(self.low, self.high)
+        return self.products[kept, kept], self.seconds[kept]
+
+
+def rolling_stats(ticks: DataFrame, evidence: DataFrame, slab_s: float, horizon_s: float = C.BUFFER_S, cap: int = C.BUFFER_CAP,
+                  threshold: float = C.CLUSTER_THRESHOLD) -> DataFrame:
+    """room_id, frame_id and `buffer_stats` of each tick's rolling evidence: at most `cap` pieces no older than the horizon; no row without any.
+
+    Each piece of evidence is shuffled once, and once more where the next slab looks back on it. A slab's rows stream through a ring of the newest
+    pieces, which takes one row of dot products for each new one; a tick clusters what the ring holds."""
+    import numpy as np
+    import pyarrow as pa
+    width = max(float(slab_s), horizon_s + 1e-3)  # as with_halo
+    types = dict(ticks.dtypes)
+    e = with_halo(evidence.select("room_id", F.col("at").cast("double").alias("t"), "evidence_id", F.col("duration_s").cast("double").alias("duration_s"), "embedding"), "t", slab_s, horizon_s)
+    e = e.drop("_halo").withColumn("_tick", F.lit(0))
+    k = ticks.select("room_id", "frame_id", F.col("t").cast("double").alias("t"), F.floor(F.col("t") / width).cast("bigint").alias(SLAB), F.lit(1).alias("_tick"))
+    rows = hashed(e.unionByName(k, allowMissingColumns=True), ["room_id", SLAB], ["t", "_tick", "evidence_id", "frame_id"])
+    numbers = "segments long, evidence_s double, clusters long, raw_clusters long, stray_segments long, fragmentation double, separation double, dispersion double"
+    ddl = f"room_id {types['room_id']}, frame_id {types['frame_id']}, {numbers}"
+    names = [f.strip().split()[0] for f in ddl.split(",")]
+
+    def walk(batches):
+        part = ring = None
+        for batch in batches:
+            room, slab, t, tick, seconds = (batch.column(c).to_pylist() for c in ("room_id", SLAB, "t", "_tick", "duration_s"))
+            vectors, frames = batch.column("embedding"), batch.column("frame_id").to_pylist()
+            out = []
+            for i in range(batch.num_rows):
+                if (room[i], slab[i]) != part:
+                    part, ring = (room[i], slab[i]), None
+                if not tick[i]:
+                    x = np.asarray(vectors[i].values, dtype=float)
+                    ring = ring or _Ring(cap, len(x))
+                    ring.add(t[i], seconds[i], x)
+                elif ring is not None:
+                    products, held = ring.since(t[i] - horizon_s)
+                    if len(held):
+                        out.append((room[i], frames[i], *product_numbers(products, held, threshold)))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=schema)
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return rows.mapInArrow(walk, ddl)
+
+
 def headcount_estimate(ticks: DataFrame, evidence: DataFrame, slab_s: float, horizon_s: float = C.BUFFER_S,
                        cap: int = C.BUFFER_CAP) -> DataFrame:
     """Occupancy estimate per certified tick from its rolling evidence; ticks without evidence yield no row."""
-    buffer = ["room_id", "frame_id"]
-    window = evidence_window(ticks, evidence, ["room_id"], slab_s, ["duration_s", "embedding"], "frame_id", horizon_s, cap)
-    return crowd_estimate(ticks.join(buffer_stats(window.drop("t"), buffer), buffer))
+    return crowd_estimate(ticks.join(rolling_stats(ticks, evidence, slab_s, horizon_s, cap), ["room_id", "frame_id"]))
 
 
 def headcount_series(ticks: DataFrame, estimates: DataFrame, slab_s: float) -> DataFrame:
