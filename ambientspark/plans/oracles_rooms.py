@@ -96,7 +96,53 @@ _PUB_STATES = f"""states AS MATERIALIZED (SELECT * , {trend('valence')} AS valen
     SELECT room_id, rn, t, frame_id, speech_ratio, mood, bucket, headcount_confidence, emotion_confidence, trend,
       CASE WHEN arousal IS NOT NULL THEN valence END AS valence, CASE WHEN valence IS NOT NULL THEN arousal END AS arousal FROM pub))"""
 
+
+
+def _clustered(buffers: str) -> tuple[str, ...]:
+    """Average linkage by recursion over buffers (buffer, room_id, evidence_id, at, duration_s): each step merges the nearest two clusters of every buffer."""
+    return (
+        f'bufs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY buffer ORDER BY "at", evidence_id) AS pos FROM ({buffers}))',
+        """gaps AS MATERIALIZED (SELECT a.room_id, a.evidence_id AS i, b.evidence_id AS j, 1 - least(1, greatest(-1, list_inner_product(a.embedding, b.embedding))) AS d
+          FROM evidence a JOIN evidence b ON a.room_id = b.room_id)""",
+        """near_pairs AS MATERIALIZED (SELECT x.buffer, x.pos AS p, y.pos AS q, g.d FROM bufs x JOIN bufs y ON x.buffer = y.buffer AND x.pos < y.pos
+          JOIN gaps g ON g.i = x.evidence_id AND g.j = y.evidence_id)""",
+        """merged AS (SELECT buffer, 0 AS step, list(pos ORDER BY pos) AS roots FROM bufs GROUP BY buffer
+          UNION ALL SELECT buffer, step + 1, list_transform(roots, lambda x: CASE WHEN x = m.b THEN m.a ELSE x END)
+          FROM (SELECT buffer, step, roots, min_by({'a': a, 'b': b}, {'d': d, 'a': a, 'b': b}) AS m, min(d) AS d
+            FROM (SELECT r.buffer, r.step, r.roots, least(r.roots[n.p], r.roots[n.q]) AS a, greatest(r.roots[n.p], r.roots[n.q]) AS b, avg(n.d) AS d
+              FROM merged r JOIN near_pairs n ON n.buffer = r.buffer AND r.roots[n.p] <> r.roots[n.q] GROUP BY ALL) GROUP BY ALL) WHERE d < 0.7)""",
+        """told AS MATERIALIZED (SELECT b.*, l.roots[b.pos] AS root FROM bufs b JOIN (SELECT buffer, max_by(roots, step) AS roots FROM merged GROUP BY 1) l USING (buffer))""",
+        """told_pairs AS MATERIALIZED (SELECT x.buffer, x.pos AS p, x.root AS rp, y.root AS rq, g.d FROM told x JOIN told y ON x.buffer = y.buffer AND x.pos <> y.pos
+          JOIN gaps g ON g.i = x.evidence_id AND g.j = y.evidence_id)""")
+
+
+_TICK_BUFFERS = """SELECT k.evidence_id AS buffer, e.room_id, e.evidence_id, e."at", e.duration_s FROM evidence k JOIN evidence e ON e.room_id = k.room_id AND e."at" BETWEEN k."at" - 90 AND k."at" """
+_ESTIMATES = (*_clustered(_TICK_BUFFERS), f"""numbers AS MATERIALIZED (SELECT c.buffer, c.evidence_s, greatest(1, c.heavy) AS raw_clusters, c.stray / c.n AS fragmentation,
+      CASE WHEN c.n >= 3 THEN coalesce(s.separation, 0) ELSE 0.0e0 END AS separation, coalesce(w.dispersion, 0) AS dispersion
+    FROM (SELECT buffer, sum(n) AS n, sum(s) AS evidence_s, count(*) FILTER (WHERE ok) AS heavy, coalesce(sum(n) FILTER (WHERE NOT ok), 0) AS stray
+      FROM (SELECT *, (n >= 2 OR s >= 2.5) AND s >= 0.1e0 * sum(s) OVER (PARTITION BY buffer) AS ok FROM (
+        SELECT buffer, root, count(*) AS n, sum(duration_s) AS s FROM told GROUP BY 1, 2)) GROUP BY 1) c
+    LEFT JOIN (SELECT buffer, avg(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) END) AS separation
+      FROM (SELECT buffer, p, avg(d) AS a FROM told_pairs WHERE rp = rq GROUP BY 1, 2)
+      JOIN (SELECT buffer, p, min(d) AS b FROM (SELECT buffer, p, rq, avg(d) AS d FROM told_pairs WHERE rp <> rq GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (buffer, p) GROUP BY 1) s USING (buffer)
+    LEFT JOIN (SELECT buffer, sum(d * n) / sum(n) AS dispersion FROM (SELECT buffer, rp, avg(d) AS d, count(DISTINCT p) AS n FROM told_pairs WHERE rp = rq GROUP BY 1, 2) GROUP BY 1) w USING (buffer))""",
+    f"""estimates AS MATERIALIZED (SELECT *, (1 - crowd_weight) * log2(raw_clusters) + crowd_weight * babble_log2 AS log2_count,
+      least(1, greatest(0, (1 - crowd_weight) * least(1, evidence_s / 15.0e0) * least(1, greatest(0.2e0, 0.4e0 + separation)) + crowd_weight * 0.25e0)) AS confidence
+    FROM (SELECT *, least(1, greatest(0, (1 - least(1, greatest(0, separation / 0.25e0))) * greatest({ramp('raw_clusters', '4.0e0', '8.0e0')},
+          {ramp('speech_ratio', '0.6e0', '0.95e0')} * {_LOUD} * {_SMEAR}))) AS crowd_weight,
+        3.0e0 + 7.0e0 * speech_ratio * least(1, greatest(0, (loudness_dbfs + 45.0e0) / 25.0e0)) AS babble_log2
+      FROM (SELECT n.*, e.room_id, e.evidence_id AS frame_id, e."at" AS t, 0.9e0 AS speech_ratio, -30.0e0 + e.evidence_id % 7 AS loudness_dbfs, e.evidence_id % 2 = 0 AS playback_active,
+          -45.0e0 AS noise_floor_dbfs FROM numbers n JOIN evidence e ON e.evidence_id = n.buffer)))""")
+
 ORACLES = {
+    "threshold_cluster": with_views("evidence", "SELECT evidence_id, room_id, dense_rank() OVER (PARTITION BY room_id ORDER BY root) - 1 AS label FROM told",
+                                    *_clustered('SELECT room_id AS buffer, room_id, evidence_id, "at", duration_s FROM evidence')),
+    "headcount_estimate": with_views("evidence", """SELECT room_id, frame_id, t, raw_clusters, round(crowd_weight, 6) AS crowd_weight, round(dispersion, 6) AS dispersion,
+        round(fragmentation, 6) AS fragmentation, round(log2_count, 6) AS log2_count, round(confidence, 6) AS confidence FROM estimates""", *_ESTIMATES),
+    "headcount_series": with_views("evidence", f"""SELECT e.room_id, e.frame_id, {_LADDER}[h.b + 1] AS bucket, round(e.confidence, 6) AS headcount_confidence, 0.0e0 AS headcount_staleness_s, round(s.x, 6) AS smoothed_log2
+        FROM est_h h JOIN est_s s USING (room_id, rn) JOIN est_src e USING (room_id, rn)""", *_ESTIMATES,
+        "est_src AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY room_id ORDER BY t, frame_id) AS rn FROM estimates)",
+        ema_cte("est_s", "est_src", "room_id", 20.0, x="log2_count"), *_EST[1:]),
     "cluster_mass": with_views("evidence", """
         SELECT room_id, CAST(sum(n) AS BIGINT) AS segments, sum(s) AS evidence_s, count(*) AS clusters, greatest(1, count(*) FILTER (WHERE ok)) AS raw_clusters,
           CAST(coalesce(sum(n) FILTER (WHERE NOT ok), 0) AS BIGINT) AS stray_segments, round(coalesce(sum(n) FILTER (WHERE NOT ok), 0) / sum(n), 6) AS fragmentation

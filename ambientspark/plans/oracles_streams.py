@@ -17,6 +17,8 @@ ORACLES = {
     "stream_throttle": _TICKS["throttle"],
     "stream_evidence": with_views("evidence", """SELECT k.evidence_id AS frame_id, sum(e.duration_s) AS evidence_s, count(*) AS segments
         FROM evidence k JOIN evidence e ON e.room_id = k.room_id AND e.at BETWEEN k.at - 90 AND k.at GROUP BY 1"""),
+    "stream_headcount": with_views("evidence", """SELECT buffer AS frame_id, raw_clusters, round(fragmentation, 6) AS fragmentation, round(separation, 6) AS separation,
+        round(dispersion, 6) AS dispersion FROM numbers""", *oracles_rooms._ESTIMATES[:-1]),
     "stream_evidence_timeouts": with_views("evidence", """SELECT k.room_id, k."at" + 90 AS t, count(e."at") AS segments, coalesce(sum(e.duration_s), 0) AS evidence_s
         FROM (SELECT DISTINCT room_id, "at" FROM evidence) k LEFT JOIN evidence e ON e.room_id = k.room_id AND e."at" > k."at" AND e."at" <= k."at" + 90 GROUP BY 1, 2"""),
     "stream_room": with_views("frames", f"""SELECT frame_id, round(l, 6) AS loudness, round(a, 6) AS activity, round(s, 6) AS speech, round(fl, 6) AS floor, round(ev, 6) AS valence,

@@ -69,7 +69,8 @@ def evidence_seconds(spark, sf):
 
 def headcount_estimate(spark, sf):
     df = occupancy.headcount_estimate(_evidence_ticks(spark, sf), V.evidence(spark, sf).drop("label"), V.slab(spark, sf, "evidence"))
-    return df.select("room_id", "frame_id", "t", "raw_clusters", "crowd_weight", "dispersion", "fragmentation", "log2_count", "confidence")
+    numbers = ("crowd_weight", "dispersion", "fragmentation", "log2_count", "confidence")
+    return _r(df.select("room_id", "frame_id", "t", "raw_clusters", *numbers), *numbers)
 
 
 def headcount_series(spark, sf):
@@ -77,7 +78,7 @@ def headcount_series(spark, sf):
     est = slabs.stage(occupancy.headcount_estimate(_evidence_ticks(spark, sf), V.evidence(spark, sf).drop("label"), s))
     ticks = V.evidence(spark, sf).selectExpr("room_id", "evidence_id AS frame_id", "at AS t")
     df = occupancy.headcount_series(ticks, est, s)
-    return df.select("room_id", "frame_id", "bucket", "headcount_confidence", "headcount_staleness_s", "smoothed_log2")
+    return _r(df.select("room_id", "frame_id", "bucket", "headcount_confidence", "headcount_staleness_s", "smoothed_log2"), "headcount_confidence", "smoothed_log2")
 
 
 # --- playback ------------------------------------------------------------------
