@@ -17,6 +17,12 @@ def rulebook(spark: SparkSession, overrides: dict[tuple[str, str, str], list[str
     return spark.createDataFrame(rows, "bucket string, vband string, aband string, pool array<string>")
 
 
+def mapped_cells(items: DataFrame) -> DataFrame:
+    """The (genre, tier) pairs that have a playlist, by genre, tiers from low to high."""
+    tier = F.array_position(F.array(*[F.lit(t) for t in ("low", "mid", "high")]), F.col("tier"))
+    return items.select("genre", "tier").distinct().orderBy("genre", tier)
+
+
 def rulebook_lookup(df: DataFrame, grid: DataFrame) -> DataFrame:
     """Adds the cell's pool. The seed grid is small enough that Spark broadcasts it by itself; a larger one it joins otherwise."""
     return df.join(grid, CELL, "left")

@@ -151,3 +151,15 @@ ORACLES = {
     "attribution_cells": with_views("overrides", f"""
         SELECT rec_id, array_to_string({_ATTR}, ' / ') AS cell, coalesce(cell[1] = 'guard', false) AS guard FROM overrides"""),
 }
+
+ORACLES |= {f"report_{section}": ORACLES[name] for section, name in {
+    "verdict_totals": "verdict_totals", "1_verdicts_by_cell": "verdicts_by_cell", "2_boundary_proximity": "boundary_proximity", "3_boundary_shifts": "boundary_shifts",
+    "gate_summary": "gate_summary", "4_overrides_by_cell": "override_counts_by_cell", "5_veto_proximity": "veto_proximity", "6_tier_disagreement": "tier_disagreement",
+    "7_strong_label_shifts": "strong_label_shifts", "8_tier_cutoffs": "tier_cutoffs", "9_pool_weighting": "pool_weighting"}.items()}
+ORACLES |= {
+    "report_4a_flagged": with_views("gated", "SELECT rec_id, action, gate, basis, stamped FROM gated WHERE gate <> 'usable'"),
+    "jsonl_round_trip": with_views("annotations", "SELECT room_id, ts, verdict, valence, arousal, valence_low, valence_high, arousal_low, arousal_high, array_to_string(cell, ' / ') AS cell FROM annotations"),
+    "state_feed": with_views("frames", "SELECT room_id, t AS timestamp, speech_raw AS speech_ratio, playback_active FROM frames"),
+    "signature_store": with_views("frames", """SELECT track_id, CAST(printf('%.4f', max(v_raw)) AS DOUBLE) AS valence, CAST(printf('%.4f', min(a_raw)) AS DOUBLE) AS arousal, count(*) AS refs
+        FROM frames WHERE track_id IS NOT NULL GROUP BY 1"""),
+}

@@ -252,7 +252,16 @@ ORACLES = {
         FROM (SELECT track_id, max(refs) AS refs, max(pull_refs) AS pull_refs FROM looked WHERE track_id IS NOT NULL GROUP BY 1)""", *SIGNED),
     "speech_ratio": with_views(_F, """SELECT frame_id AS chunk_id, round(avg(CASE WHEN speech_raw >= 0.5 THEN 1.0e0 ELSE 0 END) OVER w * CAST(NOT playback_active AS INT)
           + avg(CASE WHEN speech_raw >= 0.75 THEN 1.0e0 ELSE 0 END) OVER w * CAST(playback_active AS INT), 6) AS speech_ratio FROM frames
-        WINDOW w AS (PARTITION BY room_id ORDER BY rn ROWS 15 PRECEDING)"""),
+        WINDOW w AS (PARTITION BY room_id ORDER BY rn ROWS 155 PRECEDING)"""),
+    "spectral_short": with_views("evidence", """SELECT evidence_id, round(low / total, 4) AS low, round(mid / total, 4) AS mid, round(high / total, 4) AS high,
+          coalesce(onsets, 0) * 250.0e0 AS onset_density
+        FROM (SELECT evidence_id, sum(m * m) AS total, sum(m * m) FILTER (WHERE b = 0) AS low, sum(m * m) FILTER (WHERE b = 1) AS mid, sum(m * m) FILTER (WHERE b >= 2) AS high FROM mags GROUP BY 1)
+        LEFT JOIN (SELECT evidence_id, count(*) AS onsets FROM (SELECT *, lag(x) OVER w AS before, lead(x) OVER w AS after,
+            avg(x) OVER (PARTITION BY evidence_id) + 1.5e0 * stddev_pop(x) OVER (PARTITION BY evidence_id) AS bar FROM rises WINDOW w AS (PARTITION BY evidence_id ORDER BY f))
+          WHERE x > bar AND x >= before AND x >= after GROUP BY 1) USING (evidence_id)""",
+        """mags AS MATERIALIZED (SELECT evidence_id, f, b, sqrt(power(sum(v * cos(2 * pi() * b * j / 16)), 2) + power(sum(v * sin(2 * pi() * b * j / 16)), 2)) AS m
+          FROM (SELECT evidence_id, f, b, j, embedding[f * 8 + j + 1] * (0.5e0 - 0.5e0 * cos(2 * pi() * j / 15)) AS v FROM evidence, range(0, 7) r(f), range(0, 9) s(b), range(0, 16) u(j)) GROUP BY 1, 2, 3)""",
+        "rises AS MATERIALIZED (SELECT evidence_id, f, sum(greatest(m - p, 0)) AS x FROM (SELECT *, lag(m) OVER (PARTITION BY evidence_id, b ORDER BY f) AS p FROM mags) WHERE p IS NOT NULL GROUP BY 1, 2)"),
     "speech_runs": with_views(_F, "SELECT frame_id, start_chunk, end_chunk FROM runs", _MASKED, _RUNS),
     "speech_segments": with_views(_F, """SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY start_sample) - 1 AS pos, start_sample, end_sample
         FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY start_sample) - 1 AS i, count(*) OVER (PARTITION BY frame_id) AS k FROM segs) s

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ambientspark.functions import columns as col
-from ambientspark.operators import joins, labels, tuning
+from ambientspark.operators import joins, labels, slabs, tuning
 from ambientspark.plans import views as V
+from ambientspark.plans.report import tuning_report
+from ambientspark.sources import logs, snapshots
+from ambientspark.streaming import streams
 
 
 def _slab(spark, sf):
@@ -163,9 +168,59 @@ def attribution_cells(spark, sf):
                     col.is_guard("cell").alias("guard"))
 
 
+#: Section of the tuning report -> what its query shows of it.
+SECTIONS = {
+    "verdict_totals": lambda df: df, "1_verdicts_by_cell": _labelled, "2_boundary_proximity": lambda df: df, "3_boundary_shifts": lambda df: df,
+    "gate_summary": lambda df: df, "4_overrides_by_cell": lambda df: _round(_labelled(df), "rate"),
+    "4a_flagged": lambda df: df.select("rec_id", "action", "gate", "basis", "stamped"), "5_veto_proximity": lambda df: df, "6_tier_disagreement": lambda df: df,
+    "7_strong_label_shifts": lambda df: df, "8_tier_cutoffs": lambda df: df, "9_pool_weighting": lambda df: _round(_labelled(df), "rate")}
+
+
+def _section(name):
+    def query(spark, sf):
+        report = tuning_report(V.annotations(spark, sf), V.overrides(spark, sf), _slab(spark, sf))
+        return SECTIONS[name](report[name])
+
+    query.__name__ = f"report_{name}"
+    query.__doc__ = f"Section {name} of the tuning report."
+    return query
+
+
+def jsonl_round_trip(spark, sf):
+    """Verdict records written as daily JSON lines, read back and flattened."""
+    path = f"{slabs.shared_dir(spark)}/log-{uuid4().hex}"
+    cuts = F.struct(*[F.col(c) for c in ("valence_low", "valence_high", "arousal_low", "arousal_high")])
+    nested = V.annotations(spark, sf).select("room_id", F.lit(1).alias("schema_version"), "ts", "verdict", F.struct("valence", "arousal").alias("state"),
+                                             F.struct(F.col("cell").alias("matched_cell"), cuts.alias("boundaries_snapshot")).alias("recommendation"))
+    logs.write_daily(nested, path)
+    records, _ = logs.read_annotations(spark, f"{path}/*")
+    return _labelled(logs.flatten_annotations(records))
+
+
+def state_feed(spark, sf):
+    """States written as JSON lines and read as a live feed."""
+    path = f"{slabs.shared_dir(spark)}/feed-{uuid4().hex}"
+    logs.write_states(V.frames(spark, sf).select("room_id", F.col("t").alias("timestamp"), F.col("speech_raw").alias("speech_ratio"), "playback_active"), f"{path}/source")
+    feed = logs.stream_states(spark, f"{path}/source")
+    (feed.writeStream.foreachBatch(streams.append_once(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(feed.schema).parquet(f"{path}/out/*").select("room_id", "timestamp", "speech_ratio", "playback_active")
+
+
+def signature_store(spark, sf):
+    """Two versions of a signature snapshot, of which the second is in force."""
+    path = f"{slabs.shared_dir(spark)}/signatures-{uuid4().hex}"
+    seen = V.frames(spark, sf).filter("track_id IS NOT NULL").groupBy("track_id").agg(
+        F.max("v_raw").alias("valence"), F.min("a_raw").alias("arousal"), F.count("*").cast("int").alias("refs"))
+    seen = seen.selectExpr("*", "0.0D AS pull_valence", "0.0D AS pull_arousal", "0 AS pull_refs")
+    snapshots.write_signatures(seen.withColumn("refs", F.lit(0)), path)
+    snapshots.write_signatures(snapshots.read_signatures(spark, path).drop("refs").join(seen.select("track_id", "refs"), "track_id"), path)
+    return snapshots.read_signatures(spark, path).select("track_id", "valence", "arousal", F.col("refs").cast("bigint").alias("refs"))
+
+
 QUERIES = {f.__name__: f for f in (
     verdicts_by_cell, verdict_totals, boundary_proximity, boundary_shift_scores, boundary_shifts,
     override_counts_by_cell, override_rate, veto_proximity, strong_label_shifts, tier_disagreement, tier_cutoffs,
     pool_weighting, gate_overrides, gate_summary, presence_retro, blind_vetoes, tap_in_window, last_tap_age,
     presence_block, tap_times, validate_overrides, validate_annotations, session_counts, signal_records,
-    strong_labels, attribution_cells)}
+    strong_labels, attribution_cells, jsonl_round_trip, state_feed, signature_store, *map(_section, SECTIONS))}

@@ -166,7 +166,7 @@ def wrong_vibe_alternatives(spark, sf):
 
 
 def mapped_cells(spark, sf):
-    return V.tracks(spark, sf).select("genre", "tier").distinct()
+    return mapping.mapped_cells(V.tracks(spark, sf))
 
 
 def completions(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ambientspark.functions import constants as C, columns as col
 from ambientspark.operators import chains, emotion, joins, mapping, signal, slabs, smoothing as sm
 from ambientspark.plans import views as V
+from ambientspark.sources import snapshots
 
 ROOM, ORDER = ["room_id"], ["t", "frame_id"]
 
@@ -141,7 +142,8 @@ def anchor_seed(spark, sf):
     """Last quiet anchor per room, usable at time 260 only while at most 150 s old."""
     f = V.frames(spark, sf).filter("NOT playback_active")
     last = f.groupBy("room_id").agg(F.max_by("loudness_raw", F.struct(*ORDER)).alias("anchor"), F.max("t").alias("at"))
-    return last.filter((F.lit(260.0) - F.col("at")).between(0, 150)).select("room_id", F.round("anchor", 6).alias("anchor"))
+    seed = snapshots.usable_anchor(F.col("anchor"), F.col("at"), F.lit(260.0), 150.0)
+    return last.select("room_id", F.round(seed, 6).alias("anchor")).filter("anchor IS NOT NULL")
 
 
 def recent_values(spark, sf):
@@ -280,7 +282,7 @@ def signature_stats(spark, sf):
 
 def speech_ratio(spark, sf):
     v = V.vad_chunks(spark, sf)
-    df = signal.rolling_ratio(v, ROOM, ["t", "chunk_id"], V.slab(spark, sf), 16, plain=C.CERT_THRESHOLD,
+    df = signal.rolling_ratio(v, ROOM, ["t", "chunk_id"], V.slab(spark, sf), plain=C.CERT_THRESHOLD,
                               strict=C.CERT_THRESHOLD_PLAYBACK)
     picked = F.when(F.col("playback_active"), F.col("strict")).otherwise(F.col("plain"))
     return df.select("chunk_id", F.round(picked, 6).alias("speech_ratio"))
@@ -315,6 +317,12 @@ def spectral_features(spark, sf):
     return signal.spectral_features(tone)
 
 
+def spectral_short(spark, sf):
+    """The same features of the embeddings read as samples, in frames of 16."""
+    e = V.evidence(spark, sf).select("evidence_id", F.col("embedding").alias("samples"))
+    return signal.spectral_features(e, frame=16, hop=8)
+
+
 # --- mapping -------------------------------------------------------------------
 
 def _states(spark, sf):
@@ -367,5 +375,5 @@ QUERIES = {f.__name__: f for f in (
     envelope_advisory, anchor_writes, anchor_seed, recent_values, trail, history_tail, current_recommendation,
     throttle, deadband, emit_on_change, asof_reading, asof_playback, asof_max_age, clean_baseline, pull_samples,
     reference_taps, running_signature, corrected_emotion, va_hold_ema, signature_lookup, signature_stats,
-    speech_ratio, speech_runs, speech_segments, rms_dbfs, spectral_features, guard_reason, rulebook_lookup,
+    speech_ratio, speech_runs, speech_segments, rms_dbfs, spectral_features, spectral_short, guard_reason, rulebook_lookup,
     recommendation_candidates, recommendations, adjacent_pool)}

@@ -113,6 +113,22 @@ def test_snapshots(spark, tmp_path):
     assert tuple(got) == (-44.0, None, None)
 
 
+def test_a_version_counts_once_its_pointer_is_in_place(spark, tmp_path):
+    path = str(tmp_path / "store")
+    row = lambda k: spark.createDataFrame([(f"t{k}", 0.1 * k, 0.0, k, 0.0, 0.0, 0)], logs.S.SIGNATURE)
+    for k in range(10):
+        snapshots.write_signatures(row(k), path)
+    assert [r.track_id for r in snapshots.read_signatures(spark, path).collect()] == ["t9"]
+    versions = [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_v")]
+    assert 1 <= len(versions) <= 2
+    half = tmp_path / "store" / "_vdied"  # a writer that died between its files
+    half.mkdir()
+    (half / "part-0.json").write_text(json.dumps({"track_id": "x", "valence": 0.0}))
+    assert [r.track_id for r in snapshots.read_signatures(spark, path).collect()] == ["t9"]
+    snapshots.write_signatures(row(11), path)
+    assert [r.track_id for r in snapshots.read_signatures(spark, path).collect()] == ["t11"] and not half.exists()
+
+
 def test_playlists(spark, tmp_path):
     assert playlists.read_playlists(spark, str(tmp_path / "none.json")).count() == 0
     good = tmp_path / "p.json"
