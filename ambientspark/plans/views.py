@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ambientspark.functions import constants as C
 from ambientspark.operators.slabs import fit_slab
 
-MAX_SLAB_S = 40.0  # below the views' 259 s, so every run crosses slab borders
 TRACK_S = 20.0
 
 
@@ -158,6 +157,5 @@ def _fitted(app_id: str, sf: str, view: str) -> float:
 
 
 def slab(spark, sf, view: str = "frames") -> float:
-    """Slab width for a view: fitted to its densest key, and short enough to be exercised."""
-    cap = {"labels": 400_000.0, "evidence": 20.0}.get(view, MAX_SLAB_S)
-    return min(cap, _fitted(spark.sparkContext.applicationId, sf, view))
+    """Slab width for a view, fitted to its densest key."""
+    return _fitted(spark.sparkContext.applicationId, sf, view)
