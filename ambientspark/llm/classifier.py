@@ -61,6 +61,14 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-12)
 
 
+def nearest(similar: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k greatest of each row, in order of column; of equal ones at the limit the first columns."""
+    last = -np.partition(-similar, k - 1, axis=1)[:, k - 1 : k]
+    above, equal = similar > last, similar == last
+    room = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(-1, k)
+
+
 @dataclass
 class Neighbours:
     """The labelled vectors and what maps a text to the same space; at most LABELLED rows, a few MB."""
@@ -77,7 +85,7 @@ class Neighbours:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Share of label 1 among the nearest, weighted by similarity; of all labels where nothing is similar.
 
-        Labels count inversely to how often they occur, so that the rarer one is not outvoted by numbers alone.
+        Of equally similar ones at the limit those of the smallest ids are taken. Labels count inversely to how often they occur, so that the rarer one is not outvoted by numbers alone.
         """
         prior = float(self.labels.mean()) if len(self.labels) else 0.5
         out = np.full(len(texts), prior)
@@ -85,7 +93,7 @@ class Neighbours:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts) if k else 0, BLOCK):
             similar = self.place(np.stack([term_counts(t) for t in texts[at : at + BLOCK]])) @ self.vectors.T
-            near = np.argpartition(-similar, k - 1, axis=1)[:, :k] if k < similar.shape[1] else np.tile(np.arange(k), (len(similar), 1))
+            near = nearest(similar, k)
             weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** SHARPNESS * rarity[near]
             total = weight.sum(axis=1)
             vote = (weight * self.labels[near]).sum(axis=1)

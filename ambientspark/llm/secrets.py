@@ -82,24 +82,25 @@ def ownership(found: DataFrame) -> DataFrame:
 def secret_spans(docs: DataFrame, repository: str = "repository", owner: str = "owner", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """doc_id and spans of every row of docs: each candidate with its value's owners and verdict.
 
-    Verdict: example (at least `example_owners` owners), shared (several) or live (one owner). Base kinds always are
-    spans; random-looking values are spans only if they are live. The result is in order of start, kind, end.
+    Verdict: example (at least `example_owners` owners), shared (several), reused (one owner, several repositories: the one worth most) or live
+    (one owner, one repository). Base kinds always are spans; random-looking values are spans only if one owner holds them. The result is in order of
+    start, kind, end.
     """
     found = staged(secret_candidates(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()))
     some = found.where(F.size("candidates") > 0)
     flat = some.select("row", F.explode("candidates").alias("c"))
     counts = ownership(some)
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") > 1, "shared").otherwise("live")
+    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") > 1, "shared").when(F.col("n_repositories") > 1, "reused").otherwise("live")
     told = flat.join(counts, flat.c.hash == counts.hash).select(
         "row", F.struct(F.col("c.start").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.col("c.kind")).alias("order"), F.col("c.end").alias("end"),
                         F.col("c.kind").alias("kind"), verdict.alias("verdict"), "n_documents", "n_repositories", "n_owners").alias("s"))
-    told = told.where("s.kind <> 'random' or s.verdict = 'live'")
+    told = told.where("s.kind <> 'random' or s.verdict in ('live', 'reused')")
     spans = told.groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("spans"))  # bounded by one text's candidates
     return found.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", F.expr("array()")).alias("spans"))
 
 
 def secret_digest(spans: DataFrame) -> DataFrame:
-    """Counts, positions and verdict counts of secret_spans' rows."""
+    """Counts, positions and verdict counts of secret_spans' rows, and the most repositories that one owner's value of theirs is in."""
 
     def joined(items):
         return F.array_join(F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -111,4 +112,5 @@ def secret_digest(spans: DataFrame) -> DataFrame:
     return spans.select(
         "doc_id", *[having("kind", k) for k in KINDS[:3]],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
-        *[having("verdict", v) for v in ("live", "shared", "example")])
+        *[having("verdict", v) for v in ("live", "reused", "shared", "example")],
+        F.array_max(F.transform(F.filter("spans", lambda s: s["n_owners"] == 1), lambda s: s["n_repositories"])).alias("most_repositories"))
