@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ambientspark.llm.common import as_bytes, as_rows, id_text, staged, unused
 from ambientspark.llm.licenses import FOLD
@@ -298,26 +300,29 @@ class Items:
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
-def _passes(items: DataFrame, parts: int) -> Iterator[list[tuple[int, bytes]]]:
+def _blocks(benchmark: DataFrame, rate: float, recall: float) -> Iterator[Items]:
     """The items in blocks of about PASS_BYTES at most: only one block at a time is held by the driver."""
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + total // PASS_BYTES
     for part in range(parts):
         block = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
         if rows := [(r.item_id, r.text.encode("utf-8")) for r in block.distinct().orderBy("item_id", "text").collect()]:
-            yield rows
+            yield Items.of(rows, rate, recall)
 
 
-def _found(texts: DataFrame, items) -> DataFrame:
-    """_row and leaks of the rows of texts (_row, text) that have any."""
+def _marked(docs: DataFrame, column: str, items: Broadcast) -> DataFrame:
+    """docs with `column`, the leaks of each row's text."""
+    names = ("item_id", "first_word", "last_word", "edits")
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.StructType.fromDDL(f"leaks array<{SPAN}>")["leaks"].dataType)])
+    text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("item_id", "first_word", "last_word", "edits")
         for batch in batches:
-            found = items.value.leaks([t or b"" for t in as_bytes(batch.column("text"))])
-            at = [k for k, spans in enumerate(found) if spans]
-            spans = [[dict(zip(names, x, strict=True)) for x in found[k]] for k in at]
-            yield pa.RecordBatch.from_arrays([batch.column("_row").take(pa.array(at, pa.int64())), pa.array(spans, pa.list_(_PAIR))], names=["_row", "leaks"])
+            found = [[dict(zip(names, x, strict=True)) for x in spans] for spans in items.value.leaks([t or b"" for t in as_bytes(batch.column(text))])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_PAIR))], names=[*batch.schema.names, column])
 
-    return texts.mapInArrow(run, f"_row long, leaks array<{SPAN}>")
+    return docs.mapInArrow(run, schema)
 
 
 def leak_spans(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL, column: str = "_leaks") -> DataFrame:
@@ -327,24 +332,26 @@ def leak_spans(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, r
     the nearest counts. Windows of the length of every item up to EMBEDDED_WORDS are embedded, sampled positions find the candidates, with the
     stated recall for edited windows and certainty for exact ones; longer items are found by the piece that must stand unchanged, all of
     them. The edit distance decides. Items without words match nothing; a
-    null or empty text has no leaks. All rows and columns of docs stay. Rows are stored once; a block of items at a time is broadcast, its finds (few) are stored, and the
-    broadcast is given up before the next.
+    null or empty text has no leaks. All rows and columns of docs stay. There is no shuffle for one block of items. For several, rows are stored once, each block's finds (few)
+    are stored and its broadcast is given up before the next block, and the rows meet their finds in the end.
     """
-    known = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = staged(as_rows(docs, F.monotonically_increasing_id().alias("_row")))
-    found = None
-    for block in _passes(known, 1 + total // PASS_BYTES):
-        items = docs.sparkSession.sparkContext.broadcast(Items.of(block, rate, recall))
-        part = staged(_found(rows.select("_row", F.col("doc.text").alias("text")), items))
+    own = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c != column])
+    blocks = _blocks(benchmark, rate, recall)
+    first, second = next(blocks, None), next(blocks, None)
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    if first is None:
+        return own.withColumn(column, F.expr(f"cast(array() as array<{SPAN}>)"))
+    if second is None:
+        return _marked(own, column, broadcast(first))
+    rows = staged(as_rows(own, F.monotonically_increasing_id().alias("_row")))
+    texts, found = rows.select("_row", F.col("doc.text").alias("text")), []
+    for block in chain((first, second), blocks):
+        items = broadcast(block)
+        found.append(staged(_marked(texts, "leaks", items).where(F.size("leaks") > 0).select("_row", "leaks")))
         items.destroy()
-        found = part if found is None else found.unionByName(part)
+    spans = reduce(DataFrame.unionByName, found).groupBy("_row").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))  # bounded by one text
     none = F.expr(f"cast(array() as array<{SPAN}>)")
-    columns = [F.col("doc")[c].alias(c) for c in docs.columns if c != column]
-    if found is None:
-        return rows.select(*columns, none.alias(column))
-    spans = found.groupBy("_row").agg(F.flatten(F.collect_list("leaks")).alias("leaks"))  # bounded by one text
-    return rows.join(spans, "_row", "left").select(*columns, F.coalesce("leaks", none).alias(column))
+    return rows.join(spans, "_row", "left").select("doc.*", F.coalesce("leaks", none).alias(column))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, recall: float = RECALL) -> DataFrame:
