@@ -293,7 +293,7 @@ def test_ownership_tells_examples_from_live_values(spark):
     rows += [(30 + k, "shared Aq5Tz8Wn3Jx7Kp2Lm9Vb4Cy6", "r", f"o{k}") for k in range(2)]
     got = {r.doc_id: r.spans for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string, repository string, owner string")).collect()}
     assert {(s.kind, s.verdict, s.n_owners, s.n_documents, s.n_repositories) for s in got[0]} == {("assign", "example", 4, 8, 8), ("hex", "example", 4, 8, 8)}
-    assert [(s.kind, s.verdict, s.n_repositories) for s in got[20]] == [("random", "live", 2)] and got[22] == [] and got[30] == []
+    assert [(s.kind, s.verdict, s.n_repositories) for s in got[20]] == [("random", "reused", 2)] and got[22] == [] and got[30] == []
 
 
 def test_simhash_components(documents, odd, texts):
