@@ -104,23 +104,23 @@ class OrderedFold(StatefulProcessor):
         seen, missed = self.clock.get() if self.clock.exists() else (None, 0)
         out: list[dict] = []
 
-        def lapse(before: float, included: bool) -> None:
+        def lapse(before: float) -> None:
             nonlocal state, seen
             while fold.due is not None and state is not None:
                 at = fold.due(state)
-                if at is None or at > before or (at == before and not included):
+                if at is None or at >= before:
                     break
                 state, made = fold.lapse(state, named, at)
                 seen = at if seen is None else max(seen, at)
                 out.extend(made)
 
         for row in sorted(ready, key=self._at):
-            lapse(self._at(row)[0], False)
+            lapse(self._at(row)[0])
             state, made = fold.step(state, dict(zip(self.rows.names, row, strict=True)))
             seen = self._at(row)[0]
             out.extend(made)
         if self.waits:
-            lapse(until, False)
+            lapse(until)
         if state is not None:
             packed = fold.pack(state)
             self.held.put(packed) if packed else self.held.clear()
