@@ -134,21 +134,24 @@ def _any_outside(rules: tuple[Rule, ...], found: Column) -> Column:
     return failed
 
 
-def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text",
+           stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> DataFrame:
     """docs with quality_metrics, base_failed, kept and failed_rules (names, in the tables' order), in place of columns of these names that docs has.
 
-    Every row stays, repeated ones too; a document is kept if it fails no rule of either table.
+    Every row stays, repeated ones too; a document is kept if it fails no rule of either table. The stop words given are those of four languages (English, German,
+    French, Spanish): a text of STOP_WORDS_FROM words or more in another language fails the rule on them unless its own are added.
     """
-    scored = metrics(docs, text)
+    scored = metrics(docs, text, stop_words)
     found = F.col("quality_metrics")
     failed = F.filter(F.array(*[F.when(_outside(r, found), F.lit(r.name)) for r in (*base, *rules)]), lambda x: x.isNotNull())
     return scored.withColumns({"base_failed": _any_outside(base, found), "failed_rules": failed}).withColumn("kept", F.size("failed_rules") == 0)
 
 
-def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text") -> DataFrame:
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, text: str = "text",
+            stop_words: tuple[str, ...] | list[str] = STOP_WORDS) -> DataFrame:
     """The rows of docs that fail no rule of either table, with the columns of docs.
 
     The condition is one expression over one struct: a filter on the columns of `judged` would be pushed below them and
     evaluate the metrics once for each rule.
     """
-    return docs.where(_let(metric_struct(text), lambda found: ~_any_outside((*base, *rules), found)))
+    return docs.where(_let(metric_struct(text, stop_words), lambda found: ~_any_outside((*base, *rules), found)))
